@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, packing, sharding, tokencount, urlfilter
+from quire.llm import ann, bpe, htmltext, ngramjoin, packing, pii, quality, sharding, tokencount, urlfilter
 from quire.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,10 +24,30 @@ def op2_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_hashed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
 
+def op5_language_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(table(spark, sf_dir, "documents"), ngramjoin.Settings(words=5, percent=75))
+
+
 def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary(), end=2, capacity=4096)
 
@@ -41,7 +61,12 @@ QUERIES = {
     for f in (
         op1_virtual_slots,
         op2_segment_tree_bpe,
+        op3_adaptive_scan,
         op4_hashed_url_rules,
+        op5_language_divergence,
+        op6_weak_supervision,
+        op7_host_suffixes,
+        op8_combination_prefixes,
         op9_shortest_pack_first,
         op10_token_transducer,
     )
