@@ -29,7 +29,7 @@ class Limits:
     least_words: int = 50
     most_repeated_percent: int = 50
     #: Common words of a language: so many, each of at most so many characters.
-    common_words: int = 32
+    common_words: int = 20
     common_letters: int = 4
     #: Distances beyond which a document fails. A histogram of n words strays from its source by
     #: about 1 / sqrt(n), so the limit for words allows for that: base + noise / sqrt(n_words).
@@ -57,24 +57,27 @@ def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more; the first occurrence counts too.
 
     Windows are compared by 64-bit hash. Repeated windows are found by sorting (hash, place);
-    with their places in order, each adds the words up to the next one, 3 at most.
+    with their places in order, each adds the words up to the next one, 3 at most. Arrays are
+    shifted and zipped whole, which costs less than a lambda that looks up neighbours.
     """
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+    rest = lambda a, by: F.slice(a, F.lit(1 + by), F.size(a))  # noqa: E731  by 0: the array, without a name of its own
 
-    def places(ordered: Column) -> Column:
-        hash_at = lambda i: F.get(ordered, i)["h"]
-        same = lambda x, i: F.coalesce(x["h"] == hash_at(i - 1), F.lit(False)) | F.coalesce(x["h"] == hash_at(i + 1), F.lit(False))
-        return F.sort_array(F.transform(F.filter(ordered, same), lambda x: x["p"]))
+    def counted(zipped: Column) -> Column:
+        # the last two windows reach beyond the text
+        hashes = F.transform(F.slice(zipped, F.lit(1), F.size(zipped) - 2), lambda x: F.xxhash64(x))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
-    def covered(at: Column) -> Column:
-        gaps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
-        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    def covered(hashes: Column) -> Column:
+        ordered = F.sort_array(F.arrays_zip(rest(hashes, 0), F.sequence(F.lit(1), F.size(hashes))))
+        same = lambda a: F.filter(
+            F.arrays_zip(rest(a, 0), rest(a, 1), F.concat(F.slice(a, 1, 1), a)),
+            lambda x, i: F.coalesce(x["0"]["0"] == x["1"]["0"], F.lit(False)) | ((i > 0) & F.coalesce(x["0"]["0"] == x["2"]["0"], F.lit(False))),
+        )
+        places = F.sort_array(F.transform(let(ordered, same), lambda x: x["0"]["1"]))
+        gaps = lambda p: F.transform(F.arrays_zip(rest(p, 0), rest(p, 1)), lambda x: F.least(F.lit(3), F.coalesce(x["1"] - x["0"], F.lit(3))))
+        return F.aggregate(let(places, gaps), F.lit(0), lambda a, x: a + x)
 
-    def counted(hashes: Column) -> Column:
-        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(ordered, places), covered))
-
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows, counted))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.arrays_zip(rest(words, 0), rest(words, 1), rest(words, 2)), counted))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -87,35 +90,38 @@ def without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def class_counts(text: Column, n_chars: Column, visible: Column) -> Column:
-    """Characters by class: white space, digits, punctuation of prose, other ASCII signs, the rest."""
-    gaps = n_chars - visible
-    digits = n_chars - without(text, "[0-9]+")
-    prose = n_chars - without(text, r"[.,;:!?'\"()-]+")
-    signs = n_chars - without(text, r"[#$%&*+/<=>@\\^_`{|}~\[\]]+")
-    return F.array(*(x.cast("double") for x in (gaps, digits, prose, signs, n_chars - gaps - digits - prose - signs)))
+#: Characters by class, as what they are not: digits, punctuation of prose, other ASCII signs.
+CLASSES = {"digits": "[0-9]+", "prose": r"[.,;:!?'\"()-]+", "signs": r"[#$%&*+/<=>@\\^_`{|}~\[\]]+"}
+
+
+def class_counts() -> Column:
+    """Characters by class: white space, digits, punctuation of prose, other signs, the rest."""
+    gaps, known = F.col("n_chars") - F.col("word_chars"), [F.col(c) for c in CLASSES]
+    left = F.col("word_chars")
+    for c in known:
+        left = left - c
+    return F.array(*(x.cast("double") for x in (gaps, *known, left)))
 
 
 def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms given as arrays of counts, null if either is empty."""
+    """Jensen-Shannon distance of two histograms given as arrays of counts, null if either is empty or null."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     part = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
-    shares = lambda a, s: F.transform(a, lambda x: x / s)
-    p = F.when(total(counts) > 0, shares(counts, total(counts)))
-    q = F.when(total(reference) > 0, shares(reference, total(reference)))
-    both = F.zip_with(p, q, lambda x, y: (part(x, y) + part(y, x)) / 2)
-    return F.sqrt(F.when(total(both) < 0, F.lit(0.0)).otherwise(total(both)))
+    shares = lambda a: let(a, lambda own: let(total(own), lambda s: F.when(s > 0, F.transform(own, lambda x: x / s))))
+    each = F.zip_with(shares(counts), shares(reference), lambda x, y: (part(x, y) + part(y, x)) / 2)
+    return let(total(each), lambda d: F.sqrt(F.when(d < 0, F.lit(0.0)).otherwise(d)))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, keep: list[str]) -> DataFrame:
-    """Each document's counts; ``words`` and ``text`` stay as columns."""
+    """Each document's text, language and counts of characters."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
     kept = [F.col(c).alias(f"kept {c}") for c in keep]
     base = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"), *kept)
-    return base.withColumn("words", words_of(F.col("text"))).withColumns(
-        {"n_words": F.size("words").cast("long"), "n_chars": F.length("text").cast("long"), "word_chars": without(F.col("text"), GAP).cast("long")}
-    )
+    length = F.length("text").cast("long")
+    counts = {"n_chars": length, "word_chars": without(F.col("text"), GAP).cast("long")}
+    counts |= {k: length - without(F.col("text"), p) for k, p in CLASSES.items()}
+    return base.withColumns(counts)
 
 
 def references(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
@@ -125,11 +131,11 @@ def references(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lang
     all occurrences moves as little as any other.
     """
     all_docs = measured(docs, id_col, text_col, lang_col, [])
-    classes = class_counts(F.col("text"), F.col("n_chars"), F.col("word_chars"))
-    totals = all_docs.select("lang", "n_words", classes.alias("c")).groupBy("lang").agg(
-        F.sum("n_words").alias("total"), F.array(*(F.sum(F.col("c")[i]) for i in range(5))).alias("classes")
+    totals = all_docs.select("lang", F.size(words_of(F.col("text"))).alias("n"), class_counts().alias("c")).groupBy("lang").agg(
+        F.sum("n").alias("total"), F.array(*(F.sum(F.col("c")[i]) for i in range(5))).alias("classes")
     )
-    short = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.rlike(rf"^\p{{L}}{{1,{limits.common_letters}}}$"))
+    letters = rf"^\p{{L}}{{1,{limits.common_letters}}}$"
+    short = F.filter(F.split(F.lower("text"), GAP), lambda w: (F.length(w) <= limits.common_letters) & w.rlike(letters))
     times = all_docs.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     common = times.withColumn("r", first).where(F.col("r") <= limits.common_words).groupBy("lang").agg(
@@ -154,9 +160,10 @@ def quality(
     """
     limits = limits or Limits()
     refs = stored(references(docs, limits, id_col, text_col, lang_col), "references")
-    every = measured(docs, id_col, text_col, lang_col, list(keep)).join(bounded(refs, limits.most_languages), "lang", "left")
+    every = measured(docs, id_col, text_col, lang_col, list(keep)).withColumn("words", words_of(F.col("text")))
+    every = every.withColumn("n_words", F.size("words").cast("long")).join(bounded(refs, limits.most_languages), "lang", "left")
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), GAP, "  "), F.lit(" "))
-    rest = lambda counts, total: F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)))
+    rest = lambda counts, total: let(counts, lambda c: F.concat(c, F.array(total - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
 
     def word_counts(padded: Column) -> Column:
         # every word has a blank of its own on either side, so neighbours never share one
@@ -171,7 +178,7 @@ def quality(
             "n_dup_lines": duplicate_lines(F.col("text")).cast("long"),
             "n_repeat_words": repeated_words(F.col("words")).cast("long"),
             "own_words": F.when(comparable, let(spaced, word_counts)),
-            "own_classes": F.when(comparable, class_counts(F.col("text"), F.col("n_chars"), F.col("word_chars"))),
+            "own_classes": F.when(comparable, class_counts()),
         }
     ).withColumns(
         {
