@@ -18,7 +18,10 @@ chosen changes the amount of work, never the result. Documents meet in the bucke
 signatures. A bucket first links its members to its least one, which settles groups of near
 copies without their pairs; pairs are then made only between members that are not yet
 connected, and each candidate is verified on the whole sets. A bucket too large for that makes
-its token frequent, and its documents are indexed once more.
+its token frequent, and its documents are indexed once more. Before sets are fetched, a pair
+is held against what its prefixes already say: of the tokens up to the earlier of the two
+prefixes' ends exactly the counted ones are shared, so the whole sets share at most these and
+all that lies beyond it.
 
 Documents with equal sets are one node all along. Nothing of the size of the corpus is ever
 collected: links, components and sets stay distributed.
@@ -56,7 +59,7 @@ class Settings:
     rounds: int = 2
     #: Smallest set that pairs of tokens are made for.
     least_paired: int = 16
-    #: Nodes up to which a set of wanted nodes is sent to the workers; beyond, they are joined.
+    #: Rows up to which a table of nodes is broadcast; beyond, it is joined by a shuffle.
     most_sent: int = 500_000
 
 
@@ -128,8 +131,9 @@ def groups_of(band: int, s: Settings) -> int:
     return 0 if low < s.least_paired else max(1, lacking(low, s.percent))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of a set, and for each whether it is a single token."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[np.ndarray, int, int | None]:
+    """The signatures of a set, how many of them (the first ones) are single tokens, and, if all
+    of them are rare tokens, the last one as a signed number."""
     n = len(tokens)
     lack = lacking(n, s.percent)
     if len(frequent):
@@ -140,7 +144,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[n
         rare, late = tokens, tokens[:0]
     if len(rare) > lack or not len(late):
         single = rare[: lack + 1]
-        return single, np.ones(len(single), dtype=bool)
+        return single, len(single), int(single[-1:].view("i8")[0])
     single, pairs, left = [rare], [], lack - len(rare)
     own = int(np.searchsorted(bands(s.percent), n, side="right")) - 1
     for band in (own, own + 1):
@@ -159,7 +163,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[n
             step += 1
     ones = np.unique(np.concatenate(single))
     twos = np.concatenate(pairs) if pairs else tokens[:0]
-    return np.concatenate([ones, twos]), np.arange(len(ones) + len(twos)) < len(ones)
+    return np.concatenate([ones, twos]), len(ones), None
 
 
 def sets_of(batches, column: str, s: Settings) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -167,110 +171,111 @@ def sets_of(batches, column: str, s: Settings) -> Iterator[tuple[pa.RecordBatch,
         yield b, [shingles(t, s.words) for t in b.column(column).to_pylist()]
 
 
-def members(source: DataFrame, s: Settings, seed: int) -> DataFrame:
-    """(id, node, digest, n) of every row; node and digest are null for an empty set."""
+def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """Of every row (id, node, digest, n), node and digest null for an empty set; and, in rows of
+    their own with n null, (token, times) of the tokens that a fair share of a batch's distinct sets hold."""
 
     def run(batches):
         for b, sets in sets_of(batches, "text", s):
             names = [node_of(x, seed) if len(x) else (None, None) for x in sets]
+            distinct = list({d: x for (_, d), x in zip(names, sets, strict=True) if d is not None}.values())
+            often, times = np.empty(0, dtype=np.uint64), np.empty(0, dtype="i8")
+            if distinct:
+                tokens, count = np.unique(np.concatenate(distinct), return_counts=True)
+                held = count >= max(s.least_frequent, s.frequent_share * len(distinct))
+                often, times = tokens[held], count[held]
+            none, more = [None] * len(often), [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([a for a, _ in names], pa.int64()), pa.array([d for _, d in names], pa.binary()), pa.array(list(map(len, sets)), pa.int64())],
-                ["id", "node", "digest", "n"],
+                [
+                    pa.array(b.column("id").to_pylist() + none, pa.int64()),
+                    pa.array([n for n, _ in names] + none, pa.int64()),
+                    pa.array([d for _, d in names] + none, pa.binary()),
+                    pa.array(list(map(len, sets)) + none, pa.int64()),
+                    pa.array(more + often.view("i8").tolist(), pa.int64()),
+                    pa.array(more + times.tolist(), pa.int64()),
+                ],
+                ["id", "node", "digest", "n", "token", "times"],
             )
 
-    return per_batch(source, run, "id long, node long, digest binary, n long")
+    return per_batch(source, run, "id long, node long, digest binary, n long, token long, times long")
 
 
-def frequent_tokens(source: DataFrame, s: Settings) -> np.ndarray:
-    """Tokens that a fair share of the distinct sets of some batch hold; at most ``most_frequent``."""
-
-    def run(batches):
-        for _, sets in sets_of(batches, "text", s):
-            distinct = list({x.tobytes(): x for x in sets if len(x)}.values())
-            if not distinct:
-                continue
-            tokens, count = np.unique(np.concatenate(distinct), return_counts=True)
-            often = count >= max(s.least_frequent, s.frequent_share * len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view("i8")), pa.array(count[often].astype("i8"))], ["token", "n"])
-
-    found = per_batch(source.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(s.most_frequent).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(dtype="i8").view(np.uint64))
-
-
-class Wanted:
-    """A set of nodes that workers look up, or all."""
-
-    def __init__(self, nodes: DataFrame | None, s: Settings):
-        self.rest, self.sent = None, None
-        if nodes is not None and nodes.count() <= s.most_sent:
-            found = nodes.toPandas()["node"].to_numpy(dtype="i8")
-            self.sent = nodes.sparkSession.sparkContext.broadcast(np.sort(found))
-        else:
-            self.rest = nodes
-
-    def has(self, node: int) -> bool:
-        if self.sent is None:
-            return True
-        known = self.sent.value
-        at = int(np.searchsorted(known, node))
-        return at < len(known) and known[at] == node
-
-    def only(self, df: DataFrame) -> DataFrame:
-        """For nodes too many to send: the join that keeps the wanted rows of ``df``."""
-        return df if self.rest is None else df.join(self.rest, "node", "left_semi")
-
-
-def indexed(source: DataFrame, wanted: Wanted, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
-    """(signature, node, single) of every wanted node; a task sends each node once."""
+def indexed(source: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
+    """(signature, node, single, n, last) of every distinct set that a task meets, once each."""
     often = source.sparkSession.sparkContext.broadcast(frequent)
-    look = wanted.has
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in sets_of(batches, "text", s):
-            keys, nodes, single = [], [], []
+            parts: list[tuple[np.ndarray, int, int, int, int | None]] = []
             for x in sets:
-                if not len(x) or (node := node_of(x, seed)[0]) in seen or not look(node):
-                    continue
-                seen.add(node)
-                sig, one = signatures(x, often.value, s)
-                keys.append(sig)
-                single.append(one)
-                nodes.append(np.full(len(sig), node, dtype="i8"))
-            if keys:
-                columns = [pa.array(np.concatenate(keys).view("i8")), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(single))]
-                yield pa.RecordBatch.from_arrays(columns, ["signature", "node", "single"])
-
-    return wanted.only(per_batch(source.select("text"), run, "signature long, node long, single boolean"))
-
-
-def token_sets(source: DataFrame, wanted: Wanted, s: Settings, seed: int) -> DataFrame:
-    """(node, tokens): the whole set of every wanted node, once."""
-    look = wanted.has
+                if len(x) and (node := node_of(x, seed)[0]) not in seen:
+                    seen.add(node)
+                    keys, ones, end = signatures(x, often.value, s)
+                    parts.append((keys, ones, node, len(x), end))
+            if parts:
+                each = np.array([len(p[0]) for p in parts])
+                spread = lambda column, kind: pa.array(column, kind).take(pa.array(np.repeat(np.arange(len(parts)), each)))
+                single = np.concatenate([np.arange(len(p[0])) < p[1] for p in parts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([p[0] for p in parts]).view("i8")),
+                        spread([p[2] for p in parts], pa.int64()),
+                        pa.array(single),
+                        spread([p[3] for p in parts], pa.int32()),
+                        spread([p[4] for p in parts], pa.int64()),
+                    ],
+                    ["signature", "node", "single", "n", "last"],
+                )
+
+    return per_batch(source.select("text"), run, "signature long, node long, single boolean, n int, last long")
+
+
+def holding(source: DataFrame, nodes: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """The rows of ``source`` among which is one of every node asked for (and rows of equal id)."""
+    first = stored(nodes.join(sizes.select("node", "first"), "node").select(F.col("first").alias("id")).distinct(), "first")
+    found = source.join(bounded(first.where("id IS NOT NULL"), s.most_sent), "id", "left_semi")
+    if first.where("id IS NULL").limit(1).count():
+        found = found.unionByName(source.where("id IS NULL"))
+    return found
+
+
+def token_sets(source: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """(node, tokens): the whole set of every node that occurs, once."""
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in sets_of(batches, "text", s):
             nodes, raw = [], []
             for x in sets:
-                if len(x) and (node := node_of(x, seed)[0]) not in seen and look(node):
+                if len(x) and (node := node_of(x, seed)[0]) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     raw.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "tokens"])
 
-    return wanted.only(per_batch(source.select("text"), run, "node long, tokens binary")).dropDuplicates(["node"])
+    return per_batch(source.select("text"), run, "node long, tokens binary").dropDuplicates(["node"])
+
+
+def possible(pairs: DataFrame, s: Settings) -> DataFrame:
+    """The distinct pairs (a, b) that their sizes and prefixes leave possible, from one row
+    (a, b, n_a, n_b, last_a, last_b) for each signature that a and b share."""
+    shared = pairs.groupBy("a", "b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("c"))
+    fits = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
+    prefix = lambda n: n - F.floor((s.percent * n + 99) / 100) + 1
+    # tokens are ordered as unsigned numbers, and kept as signed ones
+    unsigned = lambda x: F.struct(x < 0, x)
+    beyond = F.when(unsigned(F.col("last_a")) <= unsigned(F.col("last_b")), F.col("n_a") - prefix(F.col("n_a"))).otherwise(F.col("n_b") - prefix(F.col("n_b")))
+    # 100 * shared >= percent * union, and union = n_a + n_b - shared
+    enough = (100 + s.percent) * (F.col("c") + beyond) >= s.percent * (F.col("n_a") + F.col("n_b"))
+    return shared.where(fits & (F.col("last_a").isNull() | F.col("last_b").isNull() | enough)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, s: Settings, seed: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are as similar as asked, stored."""
-    size = lambda side: sizes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
-    likely = pairs.join(size("a"), "a").join(size("b"), "b")
-    likely = likely.where((100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a")))
-    likely = stored(likely.select("a", "b"), "candidates")
-    nodes = stored(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "asked")
-    sets = stored(token_sets(source, Wanted(nodes, s), s, seed), "sets")
+    likely = stored(pairs, "candidates")
+    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    sets = stored(token_sets(holding(source, nodes, sizes, s), s, seed), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
 
     def run(batches):
@@ -287,8 +292,8 @@ def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, s: Settings,
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     links = stored(per_batch(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b"), run, "a long, b long"), "links")
-    for done in (likely, nodes, sets):
-        removed(done)
+    removed(likely)
+    removed(sets)
     return links
 
 
@@ -297,37 +302,42 @@ def labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def linked_nodes(source: DataFrame, sizes: DataFrame, s: Settings, seed: int) -> DataFrame | None:
+def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
     """(node, label) of all nodes that have a link."""
-    frequent, wanted, links, labels = frequent_tokens(source, s), None, None, None
+    rows, links = source, None
+
     for turn in range(1, s.rounds + 1):
         by = Window.partitionBy("signature")
-        keyed = indexed(source, Wanted(wanted, s), frequent, s, seed)
-        met = keyed.withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by), "members": F.count("*").over(by)})
-        buckets = stored(met.where("least <> most").select("signature", "node", "single", "least", "members"), "buckets")
+        me = F.struct("node", "n", "last")
+        met = indexed(rows, frequent, s, seed).withColumns({"least": F.min(me).over(by), "most": F.max("node").over(by), "members": F.count("*").over(by)})
+        buckets = stored(met.where(F.col("least.node") != F.col("most")).drop("most"), "buckets")
         # groups of near copies: every member against the bucket's least one
-        star = buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = verified(star, sizes, source, s, seed)
+        star = buckets.where(F.col("node") != F.col("least.node")).select(
+            F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"), F.col("least.last").alias("last_a"), F.col("last").alias("last_b")
+        )
+        fresh = verified(possible(star, s), sizes, source, s, seed)
         links = fresh if links is None else links.union(fresh)
         labels = connected(links)
         # what is left of a bucket: members of different components
-        apart = labelled(buckets, bounded(labels, s.most_sent)).withColumns({"low": F.min("label").over(by), "high": F.max("label").over(by)}).where("low <> high")
+        apart = labelled(buckets.drop("least"), bounded(labels, s.most_sent)).withColumns({"low": F.min("label").over(by), "high": F.max("label").over(by)}).where("low <> high")
         last = turn == s.rounds
-        apart = stored(apart.select("signature", "node", "label", "single", "members").distinct(), "apart")
+        apart = stored(apart.drop("low", "high").distinct(), "apart")
+        removed(buckets)
         small = apart if last else apart.where(F.col("members") <= s.large_bucket)
         counts = small.groupBy("signature", "label").agg(F.count("*").alias("c"))
         major = counts.groupBy("signature").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
-        minor = small.join(major, "signature").where("label <> major").select("signature", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        others = small.select("signature", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = minor.join(others, "signature").where("label_a <> label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(verified(pairs, sizes, source, s, seed))
-        if last:
-            break
-        large = apart.where((F.col("members") > s.large_bucket) & F.col("single"))
-        more = large.groupBy("signature").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "signature").limit(s.most_frequent).select("signature").toPandas()
-        wanted = stored(apart.where(F.col("members") > s.large_bucket).select("node").distinct(), "again")
-        if not wanted.limit(1).count():
+        side = lambda df, x: df.select("signature", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
+        minor = side(small.join(major, "signature").where("label <> major"), "a").join(major, "signature")
+        # two minor members meet twice, from either side: once is enough
+        once = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("major")) | (F.col("a") < F.col("b")))
+        pairs = minor.join(side(small, "b"), "signature").where(once)
+        ordered = [F.when(F.col("a") < F.col("b"), F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "last_") for x, y in (("a", "b"), ("b", "a"))]
+        links = links.union(verified(possible(pairs.select(*ordered), s), sizes, source, s, seed))
+        large = apart.where(F.col("members") > s.large_bucket)
+        if last or not large.limit(1).count():
             break
+        more = large.where("single").groupBy("signature").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "signature").limit(s.most_frequent).select("signature").toPandas()
+        rows = holding(source, large.select("node").distinct(), sizes, s)
         frequent = np.union1d(frequent, more["signature"].to_numpy(dtype="i8").view(np.uint64))
     return connected(links)
 
@@ -339,14 +349,18 @@ def joined(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc
     text = F.col(text_col).cast("string").cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     for seed in range(100):
-        rows = stored(members(source, s, seed), "members")
-        distinct = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.max("n").alias("n"))
+        found = stored(surveyed(source, s, seed), "survey")
+        rows = found.where("n IS NOT NULL").select("id", "node", "digest", "n")
+        distinct = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.max("n").alias("n"), F.min("id").alias("first"))
         sizes = stored(distinct, "sizes")
-        if not sizes.where("a <> b").limit(1).count():  # else two sets share a name: name them anew
+        if not sizes.where("x <> y").limit(1).count():  # else two sets share a name: name them anew
             break
-    labels = linked_nodes(source, sizes.select("node", "n"), s, seed)
-    found = rows.join(bounded(labels, s.most_sent), "node", "left")
-    return found.select("id", "node", "n", F.coalesce("label", "node").alias("label"))
+    held = found.where("n IS NULL").groupBy("token").agg(F.sum("times").alias("times"))
+    top = held.orderBy(F.desc("times"), "token").limit(s.most_frequent).select("token").toPandas()
+    frequent = np.sort(top["token"].to_numpy(dtype="i8").view(np.uint64))
+    labels = linked_nodes(source, sizes, frequent, s, seed)
+    named = rows.join(bounded(labels, s.most_sent), "node", "left")
+    return named.select("id", "node", "n", F.coalesce("label", "node").alias("label"))
 
 
 def components(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
