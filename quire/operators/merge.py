@@ -47,7 +47,7 @@ def pages_from_spatial(els: DataFrame, annotations: DataFrame, threshold: float
     broken = els.where("etype = 'pagebreak'").select("doc_id").distinct()
     open_ = els.where("page IS NULL").join(broken, "doc_id", "left_anti").select("doc_id", "pos", text.alias("mine")).where("mine <> ''")
     lines = annotations.select("doc_id", "block_idx", "ann_idx", C("page").alias("line_page"), F.left("line_text", F.lit(100)).alias("line")).where("line <> ''")
-    exact = open_.join(lines, (open_.doc_id == lines.doc_id) & (open_.mine == lines.line)).select(open_.doc_id, "pos", F.lit(1.0).alias("s"), "block_idx", "ann_idx", "line_page")
+    exact = open_.join(lines.withColumn("mine", C("line")), ["doc_id", "mine"]).select("doc_id", "pos", F.lit(1.0).alias("s"), "block_idx", "ann_idx", "line_page")
     left = open_.join(exact.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti")
     # a ratio above t needs lengths within a factor of (2 - t) / t
     near = left.join(lines, "doc_id").where((2 - threshold) * F.least(F.length("mine"), F.length("line")) > threshold * F.greatest(F.length("mine"), F.length("line")))
@@ -70,8 +70,10 @@ def table_roots(els: DataFrame) -> DataFrame:
     named = tables.where("table_id IS NOT NULL").groupBy("doc_id", C("table_id").alias("name")).agg(F.max("pos").alias("named_pos"))
     headless = F.size(X.header_rows("rows")) == 0
     beside = F.when((C("mid") == "pagebreak") & (C("back.etype") == "table") & headless & C("continuation_of").isNull() & (C("back.cols") == X.num_cols("rows")), C("back.pos"))
-    links = tables.join(named, (tables.doc_id == named.doc_id) & (tables.continuation_of == named["name"]) & (tables.pos != named.named_pos), "left").select(
-        tables.doc_id, "pos", F.coalesce("named_pos", beside).alias("up")
+    mine = tables.withColumn("beside", beside).select("doc_id", "pos", "continuation_of", "beside")
+    other = named.select(C("doc_id").alias("named_doc"), "name", "named_pos")
+    links = mine.join(other, (C("doc_id") == C("named_doc")) & (C("continuation_of") == C("name")) & (C("pos") != C("named_pos")), "left").select(
+        "doc_id", "pos", F.coalesce("named_pos", "beside").alias("up")
     )
     # chains are as long as a table has pages: each document's links are followed within one row
     rows = links.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("up", "pos")))).alias("up"), F.count("*").alias("n"))
