@@ -99,8 +99,8 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, tuple[int, .
         for m in pattern.finditer(text):
             s, e = m.span()
             if kind == SECRET:
-                if m[0].isdigit():
-                    continue
+                if m[0].isdigit() and not _KEY_BEFORE.search(text[max(0, s - 40) : s]):
+                    continue  # a number, unless it is given a name
                 e -= len(m[0]) - len(m[0].rstrip(".-+/"))
             at = np.searchsorted(starts, e) if starts else 0
             if at and max(x[1] for x in taken[max(0, at - 4) : at]) > s:
