@@ -52,6 +52,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of each row and a vector, on original components."""
+    return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("i,i->", q, q)))
+
+
 @dataclass(frozen=True)
 class Index:
     """What is fitted on the sample."""
@@ -161,9 +166,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, settings: Settings
     least = lambda lists: F.slice(F.sort_array(F.array_distinct(F.flatten(lists))), 1, k + 1)
     distinct = met.groupBy("key", "v").agg(least(F.collect_list("ids")).alias("ids"))
 
-    sampled = distinct.select("key", "v").orderBy("key", "v").limit(s.most_sample).collect()
+    sampled = distinct.orderBy("key", "v").limit(s.most_sample).collect()
     index = fitted(np.array([np.frombuffer(r["v"], dtype="f8") for r in sampled]), total, k, s)
     shared = spark.sparkContext.broadcast(index)
+    # the anchors are rows too: each query starts with the nearest of them, so none ends with too few
+    known = spark.sparkContext.broadcast([(np.frombuffer(r["v"], dtype="f8"), r["ids"]) for r in sampled[: s.anchors]])
 
     def placed(batches):
         for b in batches:
@@ -211,6 +218,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, settings: Settings
     dealt = asked.select("q", "v", F.pmod("key", F.lit(parts)).cast("int").alias("part"))
     probes = per_batch(dealt, probing, "q long, v binary, bound double, list int, block int, part int")
 
+    def seeded(batches):
+        x = np.array([v for v, _ in known.value])
+        for b in batches:
+            q, score, ids = [], [], []
+            for i, raw in zip(b.column("q").to_pylist(), b.column("v").to_pylist(), strict=True):
+                found = cosines(x, np.frombuffer(raw, dtype="f8"))
+                near = np.argsort(-found, kind="stable")[: k + 1]
+                q += [i] * len(near)
+                score += found[near].tolist()
+                ids += [known.value[j][1] for j in near]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(score, pa.float64()), pa.array(ids, pa.list_(pa.int64()))], ["q", "score", "ids"])
+
+    seeds = per_batch(asked.select("q", "v"), seeded, "q long, score double, ids array<long>")
+
     def searched(key, queries: pd.DataFrame, rows_: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q": pd.Series(dtype="i8"), "score": pd.Series(dtype="f8"), "ids": pd.Series(dtype=object)})
         if queries.empty or rows_.empty:
@@ -218,21 +239,19 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, settings: Settings
         ix = shared.value
         x = np.array([np.frombuffer(v, dtype="f8") for v in rows_["v"]])
         qs = np.array([np.frombuffer(v, dtype="f8") for v in queries["v"]])
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         out_q, out_score, out_ids = [], [], []
         survivors = scan(unit(qs) @ ix.rotation, queries["bound"].to_numpy(), unit(x) @ ix.rotation, k + 1, s)
         for q, v, left in zip(queries["q"].tolist(), qs, survivors, strict=True):
             if len(left):
-                scores = np.einsum("ij,j->i", x[left], v) / (norm[left] * np.sqrt(np.einsum("i,i->", v, v)))
                 out_q += [q] * len(left)
-                out_score += scores.tolist()
+                out_score += cosines(x[left], v).tolist()
                 out_ids += rows_["ids"].iloc[left].tolist()
         return pd.DataFrame({"q": out_q, "score": out_score, "ids": out_ids}) if out_q else empty
 
     on = ["list", "block", "part"]
     hits = probes.groupBy(*on).cogroup(pieces.select("v", "ids", *on).groupBy(*on)).applyInPandas(searched, "q long, score double, ids array<long>")
     order = [F.desc("score"), F.asc("id")]
-    each = hits.select("q", "score", F.explode("ids").alias("id"))
+    each = hits.unionByName(seeds).select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.max("score").alias("score"))
     best = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("r") <= k + 1)
     lists = best.groupBy("q").agg(F.collect_list(F.struct("score", "id")).alias("near"))  # k + 1 at most
     members = met.where(F.size("asked") > 0).select("key", "v", F.explode("asked").alias("query_id")).distinct()
