@@ -13,8 +13,8 @@ rare ones first, frequent ones last, by hash within either class.
   on the band of the set's size; partners lie in the same or the next band, so each document
   indexes its own band's pairs and the next one's. Very small sets use single tokens.
 
-Frequent are the tokens that a fair share of the documents of some batch hold; how they are
-chosen changes the amount of work, never the result. Documents meet in the buckets of equal
+Frequent are the tokens that several documents of the same batches hold; how they are chosen
+changes the amount of work, never the result. Documents meet in the buckets of equal
 signatures. A bucket first links its members to its least one, which settles groups of near
 copies without their pairs; pairs are then made only between members that are not yet
 connected, and each candidate is verified on the whole sets. A bucket too large for that makes
@@ -49,14 +49,15 @@ class Settings:
 
     words: int = 5
     percent: int = 75
-    #: A token is frequent if this share of a batch's documents, and so many, hold it.
-    frequent_share: float = 0.004
-    least_frequent: int = 6
+    #: A token is frequent if the batches of documents in which at least ``in_batch`` hold it
+    #: have so many holders together.
+    in_batch: int = 2
+    least_frequent: int = 12
     #: Frequent tokens that are broadcast at most (the most frequent are taken first).
     most_frequent: int = 200_000
     #: Members from which a bucket makes its token frequent, in all rounds but the last.
-    large_bucket: int = 256
-    rounds: int = 2
+    large_bucket: int = 48
+    rounds: int = 3
     #: Smallest set that pairs of tokens are made for.
     least_paired: int = 16
     #: Rows up to which a table of nodes is broadcast; beyond, it is joined by a shuffle.
@@ -173,7 +174,7 @@ def sets_of(batches, column: str, s: Settings) -> Iterator[tuple[pa.RecordBatch,
 
 def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
     """Of every row (id, node, digest, n), node and digest null for an empty set; and, in rows of
-    their own with n null, (token, times) of the tokens that a fair share of a batch's distinct sets hold."""
+    their own with n null, (token, times) of the tokens that several of a batch's distinct sets hold."""
 
     def run(batches):
         for b, sets in sets_of(batches, "text", s):
@@ -182,7 +183,7 @@ def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
             often, times = np.empty(0, dtype=np.uint64), np.empty(0, dtype="i8")
             if distinct:
                 tokens, count = np.unique(np.concatenate(distinct), return_counts=True)
-                held = count >= max(s.least_frequent, s.frequent_share * len(distinct))
+                held = count >= s.in_batch
                 often, times = tokens[held], count[held]
             none, more = [None] * len(often), [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
@@ -329,7 +330,8 @@ def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: S
         side = lambda df, x: df.select("signature", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
         minor = side(small.join(major, "signature").where("label <> major"), "a").join(major, "signature")
         # two minor members meet twice, from either side: once is enough
-        once = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("major")) | (F.col("a") < F.col("b")))
+        sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
+        once = sized & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("major")) | (F.col("a") < F.col("b")))
         pairs = minor.join(side(small, "b"), "signature").where(once)
         ordered = [F.when(F.col("a") < F.col("b"), F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "last_") for x, y in (("a", "b"), ("b", "a"))]
         links = links.union(verified(possible(pairs.select(*ordered), s), sizes, source, s, seed))
@@ -356,7 +358,7 @@ def joined(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc
         if not sizes.where("x <> y").limit(1).count():  # else two sets share a name: name them anew
             break
     held = found.where("n IS NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    top = held.orderBy(F.desc("times"), "token").limit(s.most_frequent).select("token").toPandas()
+    top = held.where(F.col("times") >= s.least_frequent).orderBy(F.desc("times"), "token").limit(s.most_frequent).select("token").toPandas()
     frequent = np.sort(top["token"].to_numpy(dtype="i8").view(np.uint64))
     labels = linked_nodes(source, sizes, frequent, s, seed)
     named = rows.join(bounded(labels, s.most_sent), "node", "left")
@@ -384,12 +386,12 @@ def components(docs: DataFrame, settings: Settings | None = None, id_col: str =
 def one_of_each(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all their columns.
 
-    First is the least id; among rows of that id, the least text. Documents without words stay.
+    First is the least id. Rows without an id or without words stay, and rows that repeat an id
+    go or stay together. The ids that go are looked up, which are few next to those that stay:
+    texts move only if there are too many of them to broadcast.
     """
-    cols = docs.columns
-    found = components(docs, settings, id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept id")).distinct()
-    rest = found.where(F.col(id_col).isNull())
-    kept = docs.join(first, F.col(id_col) == F.col("kept id"), "left_semi")
-    nulls = docs.where(F.col(id_col).isNull()) if rest.limit(1).count() else None
-    return kept.select(*cols) if nulls is None else kept.select(*cols).unionByName(nulls.select(*cols))
+    s = settings or Settings()
+    found = components(docs, s, id_col, text_col)
+    stays = F.bool_or(F.col(id_col) == F.col("component_id"))
+    gone = stored(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("gone id")).agg(stays.alias("stays")).where("NOT stays").select("gone id"), "gone")
+    return docs.join(bounded(gone, s.most_sent), F.col(id_col).cast("long") == F.col("gone id"), "left_anti")
