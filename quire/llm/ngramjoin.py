@@ -15,8 +15,8 @@ rare ones first, frequent ones last, by hash within either class.
 
 Frequent are the tokens that several documents of the same batches hold; how they are chosen
 changes the amount of work, never the result. Documents meet in the buckets of equal
-signatures. A bucket first links its members to its least one, which settles groups of near
-copies without their pairs; pairs are then made only between members that are not yet
+signatures. A bucket first links its members to its hub, which settles groups of near copies
+without their pairs; pairs are then made only between members that are not yet
 connected, and each candidate is verified on the whole sets. A bucket too large for that makes
 its token frequent, and its documents are indexed once more. Before sets are fetched, a pair
 is held against what its prefixes already say: of the tokens up to the earlier of the two
@@ -309,18 +309,20 @@ def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: S
 
     for turn in range(1, s.rounds + 1):
         by = Window.partitionBy("signature")
-        me = F.struct("node", "n", "last")
-        met = indexed(rows, frequent, s, seed).withColumns({"least": F.min(me).over(by), "most": F.max("node").over(by), "members": F.count("*").over(by)})
-        buckets = stored(met.where(F.col("least.node") != F.col("most")).drop("most"), "buckets")
-        # groups of near copies: every member against the bucket's least one
-        star = buckets.where(F.col("node") != F.col("least.node")).select(
-            F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"), F.col("least.last").alias("last_a"), F.col("last").alias("last_b")
+        met = indexed(rows, frequent, s, seed).withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by), "members": F.count("*").over(by)})
+        buckets = stored(met.where("low <> high").drop("low", "high"), "buckets")
+        # groups of near copies: every member against the bucket's hub, the member that shares most
+        # in all its buckets, which in a group of copies of one text is the one nearest to that text
+        shares = buckets.groupBy("node").agg(F.sum("members").alias("shared"))
+        hub = F.max(F.struct("shared", "node", "n", "last")).over(by)
+        star = buckets.join(shares, "node").withColumn("hub", hub).where(F.col("node") != F.col("hub.node")).select(
+            F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"), F.col("hub.last").alias("last_a"), F.col("last").alias("last_b")
         )
         fresh = verified(possible(star, s), sizes, source, s, seed)
         links = fresh if links is None else links.union(fresh)
         labels = connected(links)
         # what is left of a bucket: members of different components
-        apart = labelled(buckets.drop("least"), bounded(labels, s.most_sent)).withColumns({"low": F.min("label").over(by), "high": F.max("label").over(by)}).where("low <> high")
+        apart = labelled(buckets, bounded(labels, s.most_sent)).withColumns({"low": F.min("label").over(by), "high": F.max("label").over(by)}).where("low <> high")
         last = turn == s.rounds
         apart = stored(apart.drop("low", "high").distinct(), "apart")
         removed(buckets)
