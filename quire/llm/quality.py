@@ -4,9 +4,11 @@ A reference is made for each language from the whole corpus: how characters spre
 classes, and how often the language's most common short words occur. A document is compared
 with its language's reference by the Jensen-Shannon distance (base 2, from 0 for equal to 1
 for disjoint histograms), and fails when either distance is beyond its limit. Short documents
-have noisy histograms, and small languages noisy references: both are guarded by minimum
-lengths, below which a distance says nothing. DataFrame functions only; nothing is exploded
-for the documents themselves, so their judgement moves no rows at all.
+have noisy histograms, so a minimum length guards them, below which a distance says nothing.
+Small languages have noisy references: their classes lean on those of all languages together,
+and the limit for words allows for the reference's noise too, so every language is judged.
+DataFrame functions only; nothing is exploded for the documents themselves, so their judgement
+moves no rows at all.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ class Limits:
     common_words: int = 20
     common_letters: int = 4
     #: Distances beyond which a document fails. A histogram of n words strays from its source by
-    #: about 1 / sqrt(n), so the limit for words allows for that: base + noise / sqrt(n_words).
+    #: about 1 / sqrt(n), and so does a reference, so the limit for words allows for both:
+    #: base + noise * sqrt(1 / n_words + 1 / total).
     most_word_distance: float = 0.20
     word_noise: float = 1.5
     most_class_distance: float = 0.28
-    #: Words that a document, and a language, must have to be compared.
+    #: Words that a document must have to be compared.
     least_compared_words: int = 80
+    #: Words that a language must have for its own classes to weigh as much as those of all languages.
     least_reference_words: int = 20_000
     #: Languages up to which the references are broadcast.
     most_languages: int = 10_000
@@ -145,6 +149,18 @@ def references(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lang
     return joined.select("lang", "total", "classes", F.col("top.word").alias("common"), F.col("top.n").alias("times"))
 
 
+def pooled(refs: DataFrame, limits: Limits) -> DataFrame:
+    """``refs`` with classes as shares, mixed with the shares over all languages.
+
+    The mixture is by words, without a step: a language of few words is judged by what all
+    languages look like, a large one by what it looks like itself.
+    """
+    all_langs = refs.agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(5))).alias("all_classes"))
+    shares = lambda a: let(a, lambda own: let(F.aggregate(own, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(own, lambda x: F.when(s > 0, x / s).otherwise(0.0))))
+    mixed = F.zip_with(shares(F.col("classes")), shares(F.col("all_classes")), lambda x, y: F.col("total") * x + F.lit(limits.least_reference_words) * y)
+    return refs.crossJoin(F.broadcast(all_langs)).withColumn("classes", mixed).drop("all_classes")
+
+
 def quality(
     docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -159,7 +175,7 @@ def quality(
     kept, word_distance, class_distance) and ``keep``; a distance is null where its guard holds.
     """
     limits = limits or Limits()
-    refs = stored(references(docs, limits, id_col, text_col, lang_col), "references")
+    refs = pooled(stored(references(docs, limits, id_col, text_col, lang_col), "references"), limits)
     every = measured(docs, id_col, text_col, lang_col, list(keep)).withColumn("words", words_of(F.col("text")))
     every = every.withColumn("n_words", F.size("words").cast("long")).join(bounded(refs, limits.most_languages), "lang", "left")
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), GAP, "  "), F.lit(" "))
@@ -171,7 +187,7 @@ def quality(
         found = lambda w: (size - F.octet_length(F.replace(padded, F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)
         return F.transform("common", lambda w: found(w).cast("double"))
 
-    comparable = (F.col("n_words") >= limits.least_compared_words) & (F.col("total") >= limits.least_reference_words)
+    comparable = F.col("n_words") >= limits.least_compared_words
     counted = every.withColumns(
         {
             "n_symbols": (F.col("n_chars") - without(F.col("text"), r"[#*$%&|<>]+")).cast("long"),
@@ -187,7 +203,8 @@ def quality(
             "base_failed": (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeated_percent * F.col("n_words")),
         }
     )
-    word_limit = limits.most_word_distance + limits.word_noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    one_in = lambda n: 1 / F.greatest(n, F.lit(1))
+    word_limit = limits.most_word_distance + limits.word_noise * F.sqrt(one_in(F.col("n_words")) + one_in(F.col("total")))
     near = (F.coalesce("word_distance", F.lit(0.0)) <= word_limit) & (F.coalesce("class_distance", F.lit(0.0)) <= limits.most_class_distance)
     return counted.select(
         F.col("id").alias(id_col),

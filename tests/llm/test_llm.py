@@ -194,6 +194,18 @@ def test_quality(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    """Junk is rejected and prose kept in languages of any size, none included, with the registered limits."""
+    rng = random.Random(17)
+    common, rare = "the of and to in is it for on as".split(), ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(200)) + "."
+    junk = lambda: " ".join(rng.choice(rare) + rng.choice(("###", "$$$", "***")) for _ in range(200))
+    rows = [(prose(), "en", True) for _ in range(150)]
+    rows += [(prose(), lang, True) for lang in ("xx", "yy", None) for _ in range(3)] + [(junk(), lang, False) for lang in ("en", "xx", None, "zz") for _ in range(2)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, good boolean")
+    assert all(r.kept == r.good for r in quality.quality(df, keep=("good",)).collect())
+
+
 def test_repeated_windows_fuzz(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("ab cd e f".split()) for _ in range(rng.randint(0, 30))) for _ in range(200)]
