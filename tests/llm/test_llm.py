@@ -206,6 +206,18 @@ def test_quality_of_small_languages(spark):
     assert all(r.kept == r.good for r in quality.quality(df, keep=("good",)).collect())
 
 
+def test_quality_of_sparse_junk(spark):
+    """Some symbols in every other word are junk from 50 words on, in small corpora with much junk too; a long number is not."""
+    rng = random.Random(18)
+    common, rare = "the of and to in is it for on as".split(), ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n)) + "."
+    junk = lambda n: " ".join(rng.choice(rare) + rng.choice(("#", "$", "*")) * (i % 2) for i in range(n))
+    rows = [(prose(rng.randint(60, 300)), True) for _ in range(150)] + [(prose(60) + " 4111 1111 1111 1111 +1 523 555 1055", True)]
+    rows += [(junk(n), False) for n in (50, 55, 60, 70, 79, 80, 100, 150, 250, 400, 2000) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, "en", good) for i, (t, good) in enumerate(rows)], "doc_id long, text string, lang string, good boolean")
+    assert all(r.kept == r.good for r in quality.quality(df, keep=("good",)).collect())
+
+
 def test_repeated_windows_fuzz(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("ab cd e f".split()) for _ in range(rng.randint(0, 30))) for _ in range(200)]
