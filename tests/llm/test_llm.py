@@ -290,6 +290,14 @@ def test_html(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_long_attributes():
+    """Quoted values of any length belong to their tag; a quote without an end does not swallow the page."""
+    for n in (100, 19_000, 21_000, 500_000):
+        for q in "\"'":
+            assert htmltext.structured(f"<article><div data-x={q}{'a>' * (n // 2)}{q} id=b>text</div></article>") == (True, ["text"])
+    assert htmltext.structured('<article><p title="open>text</p></article>') == (True, ["text"])
+
+
 def test_html_of_the_given_pages(spark):
     """On pages whose article is marked, equal to what plain string surgery on the article gives."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
