@@ -127,9 +127,12 @@ def bands(percent: int) -> list[int]:
 
 
 def groups_of(band: int, s: Settings) -> int:
-    """Groups that a band's frequent tokens are dealt into; 0: they are indexed singly."""
+    """Groups that a band's frequent tokens are dealt into; 0: they are indexed singly.
+
+    Fewer than the tokens that similar sets share at least, so that two of these meet in a group.
+    """
     low = bands(s.percent)[band]
-    return 0 if low < s.least_paired else max(1, lacking(low, s.percent))
+    return 0 if low < s.least_paired else min(max(1, lacking(low, s.percent)), low - lacking(low, s.percent) - 1)
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[np.ndarray, int, int | None]:

@@ -379,6 +379,17 @@ def test_signatures_meet():
             assert len(np.intersect1d(ngramjoin.signatures(a, frequent, s)[0], ngramjoin.signatures(b, frequent, s)[0]))
 
 
+@pytest.mark.parametrize("percent", [40, 50, 75])
+def test_signatures_meet_at_low_percent(percent):
+    """A set of frequent tokens inside the largest set still similar to it shares a signature with it."""
+    rng = np.random.default_rng(19)
+    for _ in range(2000):
+        s = ngramjoin.Settings(percent=percent, least_paired=int(rng.choice([2, 16])))
+        b = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 60)), dtype=np.uint64))
+        a = np.sort(rng.permutation(b)[: len(b) - ngramjoin.lacking(len(b), percent)])
+        assert len(np.intersect1d(ngramjoin.signatures(a, b, s)[0], ngramjoin.signatures(b, b, s)[0]))
+
+
 def test_connected(spark):
     rng = random.Random(13)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)]
