@@ -16,12 +16,21 @@ rare ones first, frequent ones last, by hash within either class.
 Frequent are the tokens that several documents of the same batches hold; how they are chosen
 changes the amount of work, never the result. Documents meet in the buckets of equal
 signatures. A bucket first links its members to its hub, which settles groups of near copies
-without their pairs; pairs are then made only between members that are not yet
-connected, and each candidate is verified on the whole sets. A bucket too large for that makes
-its token frequent, and its documents are indexed once more. Before sets are fetched, a pair
-is held against what its prefixes already say: of the tokens up to the earlier of the two
-prefixes' ends exactly the counted ones are shared, so the whole sets share at most these and
-all that lies beyond it.
+without their pairs; pairs are then made only between members that are not yet connected, and
+each candidate is verified on the whole sets.
+
+A large bucket is never enumerated while rounds are left. If its signature is a single token,
+that becomes frequent, and its documents are indexed once more. Otherwise the combination is
+extended by one more token, out of the tokens in which a member differs from the hub: members
+that are not connected are not both similar to the hub, and if similar sets differ from a third
+one by more than they may differ from each other, part of these differences is the same. So
+(hub, token) is a signature again, over prefixes that the sizes of the differences allow, with
+buckets that hold only what deviates from the hub in the same place; these are treated
+like any others, in the next round.
+
+Before sets are fetched, a pair is held against what its prefixes already say: of the tokens
+up to the earlier of the two prefixes' ends exactly the counted ones are shared, so the whole
+sets share at most these and all that lies beyond it.
 
 Documents with equal sets are one node all along. Nothing of the size of the corpus is ever
 collected: links, components and sets stay distributed.
@@ -55,13 +64,16 @@ class Settings:
     least_frequent: int = 12
     #: Frequent tokens that are broadcast at most (the most frequent are taken first).
     most_frequent: int = 200_000
-    #: Members from which a bucket makes its token frequent, in all rounds but the last.
-    large_bucket: int = 48
-    rounds: int = 3
+    #: Members beyond which a bucket is split, in all rounds but the last.
+    large_bucket: int = 32
+    #: Two rounds of signatures, then splits; the last round enumerates what is left.
+    rounds: int = 5
     #: Smallest set that pairs of tokens are made for.
     least_paired: int = 16
     #: Rows up to which a table of nodes is broadcast; beyond, it is joined by a shuffle.
     most_sent: int = 500_000
+    #: Bytes of hubs' sets up to which they are broadcast.
+    most_sent_bytes: int = 16 << 20
 
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(1, 64)], dtype=np.uint64)
@@ -284,7 +296,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, s: Settings,
 
     def run(batches):
         for batch in batches:
-            for b in slices([batch], "t_a", 8 << 20):
+            for b in slices(slices([batch], "t_a", 8 << 20), "t_b", 8 << 20):
                 keep = []
                 for x, y in zip(b.column("t_a").to_pylist(), b.column("t_b").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -301,54 +313,146 @@ def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, s: Settings,
     return links
 
 
-def labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``df`` with the label of its ``node``; a node without one is its own."""
+    if labels is None:
+        return df.withColumn("label", F.col("node"))
     return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def prefixes_apart(x: int, n: int, n_hub: int, minor: bool, s: Settings) -> tuple[int, int]:
+    """Of a set of n tokens that differs from its hub in x: how many of these it indexes, and how
+    many of them (the first ones) meet minor sets too; the others meet only major ones.
+
+    Sets A and B are similar if they differ in at most c / d of n_a + n_b tokens, with
+    c = 100 - percent and d = 100 + percent. With X the difference to the hub, A and B differ
+    in X_a + X_b - 2 |X_a & X_b|, so X_a and X_b must share a number of tokens, which
+    is at least 1 if A is minor, that is not similar to the hub: X_a > c / d (n_a + n_hub).
+    """
+    c, d = 100 - s.percent, 100 + s.percent
+    meets_minor = x - (d * x + c * (n_hub - n)) // (2 * d)
+    if not minor:
+        return max(0, meets_minor), max(0, meets_minor)
+    meets_any = x - -(-(d * x - c * (n + n_hub)) // (2 * d)) + 1
+    return max(0, meets_minor, meets_any), max(0, meets_minor)
+
+
+def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Splits buckets, given as (node, n, label, hub, n_hub, hub_label): the bucket rows of
+    combinations of a hub and one token in which a member differs from it, and two tables
+    that these rows are made from.
+
+    Two members that are not connected are not both similar to the hub, so, if they are similar
+    to each other, they share such tokens. What the hub lacks comes first in the order of these
+    tokens, rare before frequent, since few members share it.
+    """
+    pairs = stored(large.where(F.col("node") != F.col("hub")).select("hub", "n_hub", "node", "n", (F.col("label") != F.col("hub_label")).alias("minor")).distinct(), "apart")
+    sets = stored(token_sets(holding(source, pairs.select("node").union(pairs.select("hub")).distinct(), sizes, s), s, seed), "sets")
+    often = source.sparkSession.sparkContext.broadcast(frequent)
+    side = lambda x, y: sets.select(F.col("node").alias(x), F.col("tokens").alias(y))
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(slices([batch], "own", 4 << 20), "base", 4 << 20):
+                keys, nodes, sizes_, xs, early, major = [], [], [], [], [], []
+                columns = (b.column(c).to_pylist() for c in ("hub", "n_hub", "node", "n", "minor", "own", "base"))
+                for hub, n_hub, node, n, minor, own, base in zip(*columns, strict=True):
+                    own, base = np.frombuffer(own, dtype=np.uint64), np.frombuffer(base, dtype=np.uint64)
+                    x = np.setxor1d(own, base, assume_unique=True)
+                    lacks, known = np.isin(x, base, assume_unique=True), np.isin(x, often.value, assume_unique=True)
+                    all_, first = prefixes_apart(len(x), n, n_hub, minor, s)
+                    x = x[np.lexsort((x, known, lacks))][:all_]
+                    if len(x):
+                        keys.append(mixed(x * _MULTIPLIERS[13] + np.uint64(hub % 2**64)))
+                        each = len(x)
+                        nodes.append(np.full(each, node))
+                        sizes_.append(np.full(each, n))
+                        xs.append(np.full(each, len(lacks)))
+                        early.append(np.arange(each) < first)
+                        major.append(np.full(each, not minor))
+                if keys:
+                    flat = lambda a, kind: pa.array(np.concatenate(a).astype(kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view("i8")), flat(nodes, "i8"), flat(sizes_, "i4"), flat(xs, "i4"), flat(early, bool), flat(major, bool)],
+                        ["signature", "node", "n", "x", "early", "major"],
+                    )
+
+    full = pairs.join(side("node", "own"), "node").join(bounded_sets(side("hub", "base"), pairs.select("hub").distinct(), s), "hub")
+    rows = per_batch(full.select("hub", "n_hub", "node", "n", "minor", "own", "base"), run, "signature long, node long, n int, x int, early boolean, major boolean")
+    return rows, pairs, sets
+
+
+def bounded_sets(sets: DataFrame, hubs: DataFrame, s: Settings) -> DataFrame:
+    """The sets of the hubs, marked for broadcast if they are small."""
+    wanted = sets.join(hubs, "hub", "left_semi")
+    n, tokens = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("base")), F.lit(0))).first()
+    return F.broadcast(wanted) if n <= s.most_sent and tokens <= s.most_sent_bytes else wanted
+
+
 def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
     """(node, label) of all nodes that have a link."""
-    rows, links = source, None
-
+    links, labels, spent = None, None, []
+    by = Window.partitionBy("signature")
+    met = indexed(source, frequent, s, seed)
+    sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
+    ends = ("node", "n", "last")
     for turn in range(1, s.rounds + 1):
-        by = Window.partitionBy("signature")
-        met = indexed(rows, frequent, s, seed).withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by), "members": F.count("*").over(by)})
-        buckets = stored(met.where("low <> high").drop("low", "high"), "buckets")
+        indexing = turn <= 2
+        more = {"x": F.lit(0), "early": F.lit(True), "major": F.lit(False)} if indexing else {"last": F.lit(None).cast("long"), "single": F.lit(False)}
+        several = met.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by)}).where("low <> high").drop("low", "high")
+        buckets = stored(labelled(several.withColumns(more).distinct(), labels), "buckets")
+        for done in spent:
+            removed(done)
         # groups of near copies: every member against the bucket's hub, the member that shares most
         # in all its buckets, which in a group of copies of one text is the one nearest to that text
-        shares = buckets.groupBy("node").agg(F.sum("members").alias("shared"))
-        hub = F.max(F.struct("shared", "node", "n", "last")).over(by)
-        star = buckets.join(shares, "node").withColumn("hub", hub).where(F.col("node") != F.col("hub.node")).select(
-            F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"), F.col("hub.last").alias("last_a"), F.col("last").alias("last_b")
+        counts = buckets.groupBy("signature").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        counts = stored(counts.select("signature", "members"), "counts")
+        shares = buckets.join(counts, "signature").groupBy("node").agg(F.sum("members").alias("shared"))
+        tops = buckets.join(counts, "signature").join(shares, "node").groupBy("signature").agg(F.max(F.struct("shared", *ends, "label")).alias("hub"), F.first("members").alias("members"))
+        tops = stored(tops.select("signature", "members", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in (*ends, "label"))), "hubs")
+        star = buckets.join(tops, "signature").where("label <> label_hub").select(
+            *(F.col(f"{x}{y}").alias(f"{p}{z}") for p, x in zip(("", "n_", "last_"), ends, strict=True) for y, z in (("_hub", "a"), ("", "b")))
         )
-        fresh = verified(possible(star, s), sizes, source, s, seed)
-        links = fresh if links is None else links.union(fresh)
+        links = joined_links(links, verified(possible(star, s), sizes, source, s, seed))
         labels = connected(links)
         # what is left of a bucket: members of different components
-        apart = labelled(buckets, bounded(labels, s.most_sent)).withColumns({"low": F.min("label").over(by), "high": F.max("label").over(by)}).where("low <> high")
+        known = bounded(labels, s.most_sent)
+        now = labelled(buckets.drop("label"), known).join(tops.select("signature", "members", F.col("node_hub").alias("hub"), F.col("n_hub")), "signature")
+        left = now.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("hub_label")).where("low <> high")
+        apart = stored(now.join(left.drop("low", "high"), "signature"), "apart")
+        for done in (buckets, counts, tops):
+            removed(done)
         last = turn == s.rounds
-        apart = stored(apart.drop("low", "high").distinct(), "apart")
-        removed(buckets)
         small = apart if last else apart.where(F.col("members") <= s.large_bucket)
-        counts = small.groupBy("signature", "label").agg(F.count("*").alias("c"))
-        major = counts.groupBy("signature").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
-        side = lambda df, x: df.select("signature", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
-        minor = side(small.join(major, "signature").where("label <> major"), "a").join(major, "signature")
+        side = lambda df, x: df.select("signature", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "last", "x", "early", "major")))
+        minor = side(small.where("label <> hub_label"), "a").join(small.where("node = hub").select("signature", "hub_label"), "signature")
         # two minor members meet twice, from either side: once is enough
-        sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
-        once = sized & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("major")) | (F.col("a") < F.col("b")))
-        pairs = minor.join(side(small, "b"), "signature").where(once)
-        ordered = [F.when(F.col("a") < F.col("b"), F.col(f"{p}{x}")).otherwise(F.col(f"{p}{y}")).alias(f"{p}{x}") for p in ("", "n_", "last_") for x, y in (("a", "b"), ("b", "a"))]
-        links = links.union(verified(possible(pairs.select(*ordered), s), sizes, source, s, seed))
+        once = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("hub_label")) | (F.col("node_a") < F.col("node_b")))
+        # at the end of a prefix of differences, only major sets are to be met
+        due = (F.col("early_a") & F.col("early_b")) | (F.col("early_a") & F.col("major_a")) | (F.col("early_b") & F.col("major_b"))
+        near = (100 + s.percent) * F.abs(F.col("x_a") - F.col("x_b")) <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
+        pairs = minor.join(side(small, "b"), "signature").where(sized & once & due & near)
+        ordered = [F.when(F.col("node_a") < F.col("node_b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{p}{x}") for c, p in zip(ends, ("", "n_", "last_"), strict=True) for x, y in (("a", "b"), ("b", "a"))]
+        links = joined_links(links, verified(possible(pairs.select(*ordered), s), sizes, source, s, seed))
         large = apart.where(F.col("members") > s.large_bucket)
         if last or not large.limit(1).count():
             break
-        more = large.where("single").groupBy("signature").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "signature").limit(s.most_frequent).select("signature").toPandas()
-        rows = holding(source, large.select("node").distinct(), sizes, s)
-        frequent = np.union1d(frequent, more["signature"].to_numpy(dtype="i8").view(np.uint64))
+        if turn == 1:
+            # a token that many hold is no prefix to index singly: it is taken to be frequent
+            top = large.where("single").groupBy("signature").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "signature").limit(s.most_frequent).select("signature").toPandas()
+            frequent = np.union1d(frequent, top["signature"].to_numpy(dtype="i8").view(np.uint64))
+            met = indexed(holding(source, large.select("node").distinct(), sizes, s), frequent, s, seed)
+            spent = [apart]
+        else:
+            met, *spent = set_apart(large, source, sizes, frequent, s, seed)
+            spent.append(apart)
     return connected(links)
 
 
+def joined_links(links: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    return fresh if links is None else links.union(fresh)
+
+
 def joined(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, n, label) of every row: rows of one label are connected by links, and a row
     without a set has a null node and label. ``node`` names the set: equal for equal sets."""

@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows, empty tables, and other columns with clashing names."""
 
 import collections
+import dataclasses
 import hashlib
 import html
 import json
@@ -257,7 +258,7 @@ def test_weak_supervision(spark):
     n = len(TEXTS)
     assert all("secret:" in got[n + i].spans for i in range(100))
     assert all(got[n + 100 + i].spans == "" for i in range(60))
-    assert got[n + 160].spans == "email:5:28" and got[n + 160].n_email == 1 and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[n + 160].spans == "email:5:24" and got[n + 160].n_email == 1 and got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     masked = {r.doc_id: r.text for r in pii.redacted(df).collect()}
     assert masked[n + 160] == "mail <EMAIL> now" and masked[n] == 'the token = "<SECRET>" of' and masked[0] is None
     assert pii.personal_data(empty(spark)).count() == 0 and pii.redacted(df).columns == df.columns
@@ -349,7 +350,58 @@ def corpus_with_copies(seed):
     return [(i, t) for i, t in enumerate([*texts, None, "", "  "])]
 
 
-@pytest.mark.parametrize("settings", [ngramjoin.Settings(), ngramjoin.Settings(least_frequent=2, large_bucket=3, rounds=3), ngramjoin.Settings(words=3, percent=60, least_frequent=2, large_bucket=2, least_paired=8)])
+def near_copies(seed):
+    """Two large groups of near copies, some too far from the first text to be linked with it, and one passage in many texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    passage, texts = [word() for _ in range(50)], []
+    for words in (60, 90):
+        base = [word() for _ in range(words)]
+        for _ in range(60):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                at = rng.randrange(len(t))
+                t[at : at + rng.choice([0, 1, 1, 2, 8])] = [word() for _ in range(rng.choice([0, 1, 1, 3, 9]))]
+            texts.append(" ".join(t))
+    texts += [" ".join([word() for _ in range(rng.choice([0, 2, 5, 9]))] + passage + [word() for _ in range(rng.choice([3, 8, 20]))]) for _ in range(60)]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+SPLITS = ngramjoin.Settings(least_frequent=2, large_bucket=2, rounds=6)
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_split_buckets(spark, percent):
+    rows = near_copies(21)
+    settings = dataclasses.replace(SPLITS, percent=percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), settings).collect()}
+    assert got == brute_components(rows, 5, percent)
+
+
+@pytest.mark.parametrize("percent", [40, 75, 90])
+def test_differences_meet(percent):
+    """Similar sets, at least one of them not similar to a third, share an indexed token in which they differ from it."""
+    rng, s = np.random.default_rng(23), ngramjoin.Settings(percent=percent)
+    similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    met = 0
+    for _ in range(30_000):
+        hub = set(range(int(rng.integers(1, 40))))
+        first = {x for x in hub if rng.random() < 0.8} | {100 + i for i in range(int(rng.integers(0, 12)))}
+        sets = [{x for x in first if rng.random() < 0.95} | {200 + 20 * k + i for i in range(int(rng.integers(0, 3)))} for k in range(2)]
+        a, b = sets
+        if a and b and similar(a, b) and not similar(a, hub):
+            met += 1
+            parts = []
+            for t in sets:
+                minor, order = not similar(t, hub), sorted(t ^ hub, key=lambda x: (x in hub, x))
+                all_, early = ngramjoin.prefixes_apart(len(order), len(t), len(hub), minor, s)
+                parts.append((set(order[:all_]), set(order[:early]), minor))
+            (all_a, early_a, _), (all_b, early_b, minor_b) = parts
+            assert early_a & early_b if minor_b else all_a & early_b
+    assert met > 300
+
+
+@pytest.mark.parametrize("settings", [ngramjoin.Settings(), SPLITS, ngramjoin.Settings(least_frequent=2, large_bucket=3, rounds=3), ngramjoin.Settings(words=3, percent=60, least_frequent=2, large_bucket=2, least_paired=8)])
 def test_components(spark, settings):
     rows = corpus_with_copies(11)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 as node", "2 as label", "3 as n", "4 as id")
