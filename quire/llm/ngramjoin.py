@@ -64,10 +64,12 @@ class Settings:
     least_frequent: int = 12
     #: Frequent tokens that are broadcast at most (the most frequent are taken first).
     most_frequent: int = 200_000
-    #: Members beyond which a bucket is split, in all rounds but the last.
+    #: Members beyond which a bucket of tokens or of their pairs is split, and beyond which one
+    #: that comes out of a split is split again.
     large_bucket: int = 32
+    large_split: int = 256
     #: Two rounds of signatures, then splits; the last round enumerates what is left.
-    rounds: int = 5
+    rounds: int = 6
     #: Smallest set that pairs of tokens are made for.
     least_paired: int = 16
     #: Rows up to which a table of nodes is broadcast; beyond, it is joined by a shuffle.
@@ -147,6 +149,17 @@ def groups_of(band: int, s: Settings) -> int:
     return 0 if low < s.least_paired else min(max(1, lacking(low, s.percent)), low - lacking(low, s.percent) - 1)
 
 
+def level_end(tokens: np.ndarray, count: int) -> int:
+    """How many of the ascending ``tokens`` lie on the levels of the first ``count`` of them.
+
+    A prefix ends with a level of the hashes, of which there are 64, so most documents that
+    share a passage index the same tokens of it.
+    """
+    if not 0 < count < len(tokens):
+        return min(max(count, 0), len(tokens))
+    return int(np.searchsorted(tokens, tokens[count - 1] | np.uint64((1 << 58) - 1), side="right"))
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[np.ndarray, int, int | None]:
     """The signatures of a set, how many of them (the first ones) are single tokens, and, if all
     of them are rare tokens, the last one as a signed number."""
@@ -159,16 +172,16 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[n
     else:
         rare, late = tokens, tokens[:0]
     if len(rare) > lack or not len(late):
-        single = rare[: lack + 1]
+        single = rare[: level_end(rare, lack + 1)]
         return single, len(single), int(single[-1:].view("i8")[0])
     single, pairs, left = [rare], [], lack - len(rare)
     own = int(np.searchsorted(bands(s.percent), n, side="right")) - 1
     for band in (own, own + 1):
         g = groups_of(band, s)
         if not g:
-            single.append(late[: left + 1])
+            single.append(late[: level_end(late, left + 1)])
             continue
-        some = late[: left + g + 1]
+        some = late[: level_end(late, left + g + 1)]
         group = mixed(some + np.uint64(band)) % np.uint64(g)
         order = np.argsort(group, kind="stable")
         some, group = some[order], group[order]
@@ -217,7 +230,7 @@ def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
 
 
 def indexed(source: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
-    """(signature, node, single, n, last) of every distinct set that a task meets, once each."""
+    """(signature, node, single, n, last, taken) of every distinct set that a task meets, once each."""
     often = source.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -240,11 +253,12 @@ def indexed(source: DataFrame, frequent: np.ndarray, s: Settings, seed: int) ->
                         pa.array(single),
                         spread([p[3] for p in parts], pa.int32()),
                         spread([p[4] for p in parts], pa.int64()),
+                        spread(each, pa.int32()),
                     ],
-                    ["signature", "node", "single", "n", "last"],
+                    ["signature", "node", "single", "n", "last", "taken"],
                 )
 
-    return per_batch(source.select("text"), run, "signature long, node long, single boolean, n int, last long")
+    return per_batch(source.select("text"), run, "signature long, node long, single boolean, n int, last long, taken int")
 
 
 def holding(source: DataFrame, nodes: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
@@ -274,14 +288,14 @@ def token_sets(source: DataFrame, s: Settings, seed: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, s: Settings) -> DataFrame:
-    """The distinct pairs (a, b) that their sizes and prefixes leave possible, from one row
-    (a, b, n_a, n_b, last_a, last_b) for each signature that a and b share."""
-    shared = pairs.groupBy("a", "b", "n_a", "n_b", "last_a", "last_b").agg(F.count("*").alias("c"))
+    """The distinct pairs (a, b) that their sizes and prefixes leave possible, from rows
+    (a, b, weight) that tell the number of signatures that a and b share, and for either side
+    its size n, and, if its signatures are rare tokens only, the last and the number of them."""
+    shared = pairs.groupBy("a", "b", *(f"{c}_{x}" for c in ("n", "last", "taken") for x in "ab")).agg(F.sum("weight").alias("c"))
     fits = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
-    prefix = lambda n: n - F.floor((s.percent * n + 99) / 100) + 1
     # tokens are ordered as unsigned numbers, and kept as signed ones
     unsigned = lambda x: F.struct(x < 0, x)
-    beyond = F.when(unsigned(F.col("last_a")) <= unsigned(F.col("last_b")), F.col("n_a") - prefix(F.col("n_a"))).otherwise(F.col("n_b") - prefix(F.col("n_b")))
+    beyond = F.when(unsigned(F.col("last_a")) <= unsigned(F.col("last_b")), F.col("n_a") - F.col("taken_a")).otherwise(F.col("n_b") - F.col("taken_b"))
     # 100 * shared >= percent * union, and union = n_a + n_b - shared
     enough = (100 + s.percent) * (F.col("c") + beyond) >= s.percent * (F.col("n_a") + F.col("n_b"))
     return shared.where(fits & (F.col("last_a").isNull() | F.col("last_b").isNull() | enough)).select("a", "b")
@@ -337,6 +351,16 @@ def prefixes_apart(x: int, n: int, n_hub: int, minor: bool, s: Settings) -> tupl
     return max(0, meets_minor, meets_any), max(0, meets_minor)
 
 
+def end_of(parts: list[np.ndarray], count: int) -> int:
+    """How many tokens of consecutive ``parts`` to index, that the first ``count`` are among them."""
+    before = 0
+    for p in parts:
+        if count <= before + len(p):
+            return before + level_end(p, count - before)
+        before += len(p)
+    return before
+
+
 def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Splits buckets, given as (node, n, label, hub, n_hub, hub_label): the bucket rows of
     combinations of a hub and one token in which a member differs from it, and two tables
@@ -360,8 +384,9 @@ def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: n
                     own, base = np.frombuffer(own, dtype=np.uint64), np.frombuffer(base, dtype=np.uint64)
                     x = np.setxor1d(own, base, assume_unique=True)
                     lacks, known = np.isin(x, base, assume_unique=True), np.isin(x, often.value, assume_unique=True)
-                    all_, first = prefixes_apart(len(x), n, n_hub, minor, s)
-                    x = x[np.lexsort((x, known, lacks))][:all_]
+                    parts = [x[~lacks & ~known], x[~lacks & known], x[lacks]]
+                    all_, first = (end_of(parts, p) for p in prefixes_apart(len(x), n, n_hub, minor, s))
+                    x = np.concatenate(parts)[:all_]
                     if len(x):
                         keys.append(mixed(x * _MULTIPLIERS[13] + np.uint64(hub % 2**64)))
                         each = len(x)
@@ -395,57 +420,64 @@ def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: S
     by = Window.partitionBy("signature")
     met = indexed(source, frequent, s, seed)
     sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
-    ends = ("node", "n", "last")
+    ends = ("node", "n", "last", "taken")
     for turn in range(1, s.rounds + 1):
         indexing = turn <= 2
-        more = {"x": F.lit(0), "early": F.lit(True), "major": F.lit(False)} if indexing else {"last": F.lit(None).cast("long"), "single": F.lit(False)}
+        none = F.lit(None)
+        more = {"x": F.lit(0), "early": F.lit(True), "major": F.lit(False)} if indexing else {"last": none.cast("long"), "taken": none.cast("int"), "single": F.lit(False)}
         several = met.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by)}).where("low <> high").drop("low", "high")
-        buckets = stored(labelled(several.withColumns(more).distinct(), labels), "buckets")
+        rows = stored(labelled(several.withColumns(more).distinct(), labels), "rows")
         for done in spent:
             removed(done)
+        # signatures with the same members are one bucket that weighs as many
+        print_of = [F.bit_xor(F.xxhash64(F.lit(k), "node", "x", "early", "major")).alias(f"print{k}") for k in (1, 2)]
+        each = rows.groupBy("signature").agg(F.count("*").alias("members"), F.bool_or("single").alias("alone"), F.min("label").alias("low"), F.max("label").alias("high"), *print_of).where("low <> high")
+        each = stored(each.drop("low", "high"), "signatures")
+        classes = each.groupBy("members", "alone", "print1", "print2").agg(F.min("signature").alias("signature"), F.count("*").alias("weight"))
+        buckets = stored(rows.join(classes.select("signature", "members", "weight"), "signature"), "buckets")
+        removed(rows)
         # groups of near copies: every member against the bucket's hub, the member that shares most
         # in all its buckets, which in a group of copies of one text is the one nearest to that text
-        counts = buckets.groupBy("signature").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        counts = stored(counts.select("signature", "members"), "counts")
-        shares = buckets.join(counts, "signature").groupBy("node").agg(F.sum("members").alias("shared"))
-        tops = buckets.join(counts, "signature").join(shares, "node").groupBy("signature").agg(F.max(F.struct("shared", *ends, "label")).alias("hub"), F.first("members").alias("members"))
-        tops = stored(tops.select("signature", "members", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in (*ends, "label"))), "hubs")
+        shares = buckets.groupBy("node").agg(F.sum(F.col("members") * F.col("weight")).alias("shared"))
+        tops = buckets.join(shares, "node").groupBy("signature").agg(F.max(F.struct("shared", *ends, "label")).alias("hub"))
+        tops = stored(tops.select("signature", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in (*ends, "label"))), "hubs")
         star = buckets.join(tops, "signature").where("label <> label_hub").select(
-            *(F.col(f"{x}{y}").alias(f"{p}{z}") for p, x in zip(("", "n_", "last_"), ends, strict=True) for y, z in (("_hub", "a"), ("", "b")))
+            "weight", *(F.col(f"{x}{y}").alias(f"{p}{z}") for p, x in zip(("", "n_", "last_", "taken_"), ends, strict=True) for y, z in (("_hub", "a"), ("", "b")))
         )
         links = joined_links(links, verified(possible(star, s), sizes, source, s, seed))
         labels = connected(links)
         # what is left of a bucket: members of different components
         known = bounded(labels, s.most_sent)
-        now = labelled(buckets.drop("label"), known).join(tops.select("signature", "members", F.col("node_hub").alias("hub"), F.col("n_hub")), "signature")
+        now = labelled(buckets.drop("label"), known).join(tops.select("signature", F.col("node_hub").alias("hub"), F.col("n_hub")), "signature")
         left = now.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("hub_label")).where("low <> high")
         apart = stored(now.join(left.drop("low", "high"), "signature"), "apart")
-        for done in (buckets, counts, tops):
+        for done in (buckets, tops):
             removed(done)
-        last = turn == s.rounds
-        small = apart if last else apart.where(F.col("members") <= s.large_bucket)
-        side = lambda df, x: df.select("signature", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "last", "x", "early", "major")))
-        minor = side(small.where("label <> hub_label"), "a").join(small.where("node = hub").select("signature", "hub_label"), "signature")
+        last, bound = turn == s.rounds, s.large_bucket if indexing else s.large_split
+        small = apart if last else apart.where(F.col("members") <= bound)
+        side = lambda df, x, *also: df.select("signature", *also, *(F.col(c).alias(f"{c}_{x}") for c in (*ends, "label", "x", "early", "major")))
+        minor = side(small.where("label <> hub_label"), "a", "hub_label", "weight")
         # two minor members meet twice, from either side: once is enough
         once = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("hub_label")) | (F.col("node_a") < F.col("node_b")))
         # at the end of a prefix of differences, only major sets are to be met
         due = (F.col("early_a") & F.col("early_b")) | (F.col("early_a") & F.col("major_a")) | (F.col("early_b") & F.col("major_b"))
         near = (100 + s.percent) * F.abs(F.col("x_a") - F.col("x_b")) <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
         pairs = minor.join(side(small, "b"), "signature").where(sized & once & due & near)
-        ordered = [F.when(F.col("node_a") < F.col("node_b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{p}{x}") for c, p in zip(ends, ("", "n_", "last_"), strict=True) for x, y in (("a", "b"), ("b", "a"))]
-        links = joined_links(links, verified(possible(pairs.select(*ordered), s), sizes, source, s, seed))
-        large = apart.where(F.col("members") > s.large_bucket)
+        ordered = [F.when(F.col("node_a") < F.col("node_b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{p}{x}") for c, p in zip(ends, ("", "n_", "last_", "taken_"), strict=True) for x, y in (("a", "b"), ("b", "a"))]
+        links = joined_links(links, verified(possible(pairs.select("weight", *ordered), s), sizes, source, s, seed))
+        large = apart.where(F.col("members") > bound)
         if last or not large.limit(1).count():
             break
         if turn == 1:
             # a token that many hold is no prefix to index singly: it is taken to be frequent
-            top = large.where("single").groupBy("signature").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "signature").limit(s.most_frequent).select("signature").toPandas()
+            top = each.where(F.col("alone") & (F.col("members") > s.large_bucket)).orderBy(F.desc("members"), "signature").limit(s.most_frequent).select("signature").toPandas()
             frequent = np.union1d(frequent, top["signature"].to_numpy(dtype="i8").view(np.uint64))
             met = indexed(holding(source, large.select("node").distinct(), sizes, s), frequent, s, seed)
             spent = [apart]
         else:
             met, *spent = set_apart(large, source, sizes, frequent, s, seed)
             spent.append(apart)
+        removed(each)
     return connected(links)
 
 

@@ -367,13 +367,13 @@ def near_copies(seed):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-SPLITS = ngramjoin.Settings(least_frequent=2, large_bucket=2, rounds=6)
+SPLITS = ngramjoin.Settings(least_frequent=2, large_bucket=2, large_split=2, rounds=4)
 
 
-@pytest.mark.parametrize("percent", [60, 75, 90])
-def test_split_buckets(spark, percent):
+@pytest.mark.parametrize("percent, rounds", [(60, 3), (75, 4)])
+def test_split_buckets(spark, percent, rounds):
     rows = near_copies(21)
-    settings = dataclasses.replace(SPLITS, percent=percent)
+    settings = dataclasses.replace(SPLITS, percent=percent, rounds=rounds)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), settings).collect()}
     assert got == brute_components(rows, 5, percent)
 
@@ -401,7 +401,7 @@ def test_differences_meet(percent):
     assert met > 300
 
 
-@pytest.mark.parametrize("settings", [ngramjoin.Settings(), SPLITS, ngramjoin.Settings(least_frequent=2, large_bucket=3, rounds=3), ngramjoin.Settings(words=3, percent=60, least_frequent=2, large_bucket=2, least_paired=8)])
+@pytest.mark.parametrize("settings", [ngramjoin.Settings(), dataclasses.replace(SPLITS, rounds=3), ngramjoin.Settings(words=3, percent=60, least_frequent=2, large_bucket=2, least_paired=8)])
 def test_components(spark, settings):
     rows = corpus_with_copies(11)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 as node", "2 as label", "3 as n", "4 as id")
