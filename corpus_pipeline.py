@@ -15,23 +15,43 @@ from quire.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.quality(docs, keep=rest).where("kept").select(*docs.columns)
+    """Drops the documents that the quality rules reject.
+
+    Null, empty and blank texts have no words and are dropped; texts of any length are judged
+    whole; equal rows are judged alike and all of them kept or dropped; a null language is a
+    language of its own; an empty table stays empty. Extra columns are carried as they are,
+    whatever their names.
+    """
+    whole = docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return quality.quality(whole, keep=("row",)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the least id."""
+    """Keeps one document of each group of near duplicates: the one with the least id.
+
+    Documents without words (null, empty or blank texts) and rows with a null id stay; rows that
+    repeat an id stay or go together; texts of any length are compared whole; an empty table
+    stays empty; extra columns are carried as they are.
+    """
     return ngramjoin.one_of_each(docs, ngramjoin.Settings(words=5, percent=75))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in every text."""
+    """Masks personal data in every text.
+
+    No row goes. A null text stays null and an empty one empty; equal texts are masked alike;
+    texts of any length are read whole; an empty table stays empty; ``n_chars``, where there
+    is one, is counted anew, and extra columns are carried as they are.
+    """
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of all documents into sequences of at most 4096."""
+    """Packs the token ids of all documents into sequences of at most 4096.
+
+    A null or empty text is one piece that holds only the end token; long texts are cut; equal
+    rows take different places; an empty table gives no pieces; extra columns are not read.
+    """
     return packing.packed(docs, vocabulary(), end=2, capacity=4096)
 
 
