@@ -48,12 +48,20 @@ class Settings:
     seed: int = 7
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1:
+    changes no cosine, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of each row and a vector, on original components."""
+    """Cosine of each row and a vector, on original components up to powers of two."""
+    x, q = scaled(x), scaled(q)
     return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("i,i->", q, q)))
 
 
@@ -133,7 +141,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, settings: Settings
 
     Queries are the rows whose id is divisible by ``every``. Vectors that are null, zero, or
     hold a null or non-finite component take no part, nor do rows without an id or with
-    another number of components than most. Rows that share an id are each other's own.
+    another number of components than most; components may be as large or small as doubles are. Rows that share an id are each other's own.
     Ties go to the smaller id; fewer candidates than ``k`` are all returned; an empty table
     gives an empty result; other columns are not read.
 

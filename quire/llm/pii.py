@@ -6,10 +6,11 @@ a longer run of digits hides from the patterns) are judged by several weak label
 given by regular expressions, a gazetteer of names that secrets go by, and the context around
 the candidate. Each votes yes, no or not at all. Expectation-maximisation over the counts of
 vote patterns in the whole corpus estimates how reliable every labeler is for either class, and
-with that how likely each candidate is private. A logistic classifier over the votes, the kind
-and the length is then trained on these probabilities, and its verdict adds the spans.
+with that how likely each candidate is private. A logistic classifier over the votes and over the
+span itself (kind, length, variety and kind of its characters, what stands around it) is then
+trained on these probabilities, and its verdict adds the spans. A card must pass its check sum.
 
-Only counts of vote patterns reach the driver: there are at most kinds x 3^labelers x lengths
+Only counts of patterns reach the driver: there are at most kinds x 3^labelers x 4^4
 of them, whatever the corpus, and they cover all of it, so nothing is sampled.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ GAZETTEER = frozenset(
 #: Beginnings of well-known access keys.
 KEY_STARTS = ("AKIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "glpat-")
 LABELERS = 5
+#: Characters of a pattern before the votes.
+SHAPE = 5
 
 # The patterns of the contract, in forms that take linear time.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,22 +94,40 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that spans cover, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def touches(covered: tuple[list[int], list[int]], s: int, e: int) -> bool:
+    """Whether a span shares a character with one of the intervals."""
+    at = bisect_left(covered[0], e)
+    return at > 0 and covered[1][at - 1] > s
+
+
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, tuple[int, ...]]]:
     """Further spans that may be private, apart from the base ones, with the labelers' votes (1, -1, 0)."""
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+    spans = [(s, e) for _, s, e in base]
+    known = found = merged(spans)
     new: list[Span] = []
     for kind, pattern in ((CARD, _STRICT_CARD), (PHONE, _STRICT_PHONE), (SECRET, _VALUE)):
+        if kind == SECRET and new:
+            found = merged(spans + [(s, e) for _, s, e in new])
         for m in pattern.finditer(text):
             s, e = m.span()
             if kind == SECRET:
                 if m[0].isdigit() and not _KEY_BEFORE.search(text[max(0, s - 40) : s]):
                     continue  # a number, unless it is given a name
                 e -= len(m[0]) - len(m[0].rstrip(".-+/"))
-            at = np.searchsorted(starts, e) if starts else 0
-            if at and max(x[1] for x in taken[max(0, at - 4) : at]) > s:
-                continue
-            if kind == SECRET and any(a < e and s < b for k, a, b in new if k != SECRET):
+            if touches(found if kind == SECRET else known, s, e) or (kind == CARD and not luhn(m[0])):
                 continue
             new.append((kind, s, e))
     for kind, s, e in new:
@@ -119,15 +141,21 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, tuple[int, .
             plain = -1 if shape < 0 and _PLAIN.fullmatch(value) else 0
         else:
             shape, plain = 1, 0
-            mixed = luhn(value) if kind == CARD else len(set(value)) >= 6
+            mixed = len(set(value)) >= 6
             context = 1 if not (before[-1:].isalnum() or text[e : e + 1].isalnum()) else -1
         gazetteer = 1 if listed or value.startswith(KEY_STARTS) or (kind == CARD and value[0] in "3456") else 0
         yield (kind, s, e), (shape, 1 if mixed else -1, gazetteer, context, plain)
 
 
-def pattern_of(span: Span, votes: tuple[int, ...]) -> str:
-    """What the model sees of a candidate: kind, length class and votes."""
-    return f"{span[0]}{min(3, (span[2] - span[1]) // 12)}" + "".join("n0y"[v + 1] for v in votes)
+def pattern_of(span: Span, votes: tuple[int, ...], text: str) -> str:
+    """What the model sees of a candidate: kind, classes of its length, of how many different
+    characters it has, of what they are and of what stands around it; then the votes."""
+    kind, s, e = span
+    value = text[s:e]
+    variety = min(3, 4 * len(set(value)) // (min(len(value), 16) + 1))
+    made_of = 0 if value.isdigit() else 1 if value.isalnum() and (value.islower() or value.isupper()) else 2 if value.isalnum() else 3
+    around = 2 * (s > 0 and not text[s - 1].isspace()) + (e < len(text) and not text[e].isspace())
+    return f"{kind}{min(3, len(value) // 12)}{variety}{made_of}{around}" + "".join("n0y"[v + 1] for v in votes)
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +178,9 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
 
 
 def features(pattern: str) -> list[float]:
-    votes = ["n0y".index(c) - 1 for c in pattern[2:]]
-    return [1.0, *(float(v > 0) for v in votes), *(float(v < 0) for v in votes), *(float(int(pattern[0]) == k) for k in (CARD, PHONE)), *(float(pattern[1] == c) for c in "0123")]
+    votes = ["n0y".index(c) - 1 for c in pattern[SHAPE:]]
+    own = [float(pattern[i] == c) for i in range(1, SHAPE) for c in "0123"]
+    return [1.0, *(float(v > 0) for v in votes), *(float(v < 0) for v in votes), *(float(int(pattern[0]) == k) for k in (CARD, PHONE)), *own]
 
 
 def trained(counts: dict[str, int], steps: int = 400, shrink: float = 1e-3) -> frozenset[str]:
@@ -160,7 +189,7 @@ def trained(counts: dict[str, int], steps: int = 400, shrink: float = 1e-3) -> f
     if not patterns:
         return frozenset()
     n = np.array([counts[p] for p in patterns], dtype=float)
-    private, _ = expectation_maximisation(np.array([["n0y".index(c) - 1 for c in p[2:]] for p in patterns]), n)
+    private, _ = expectation_maximisation(np.array([["n0y".index(c) - 1 for c in p[SHAPE:]] for p in patterns]), n)
     x, weight = np.array(list(map(features, patterns))), n / n.sum()
     # patterns weigh by the logarithm too, so that rare ones aren't drowned by one frequent kind
     weight = (weight + (logs := np.log1p(n)) / logs.sum()) / 2
@@ -170,7 +199,7 @@ def trained(counts: dict[str, int], steps: int = 400, shrink: float = 1e-3) -> f
         beta += 4.0 * (x.T @ (weight * (private - p)) - shrink * beta)
     yes = x @ beta > 0
     # whatever the fit, no vote for it means no span
-    return frozenset(p for p, y in zip(patterns, yes, strict=True) if y and "y" in p[2:])
+    return frozenset(p for p, y in zip(patterns, yes, strict=True) if y and "y" in p[SHAPE:])
 
 
 def written(spans: list[Span]) -> str:
@@ -186,7 +215,7 @@ def fitted(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
             counts: dict[str, int] = {}
             for text in b.column("text").to_pylist():
                 for span, votes in candidates(text, base_spans(text)):
-                    p = pattern_of(span, votes)
+                    p = pattern_of(span, votes, text)
                     counts[p] = counts.get(p, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
@@ -198,7 +227,7 @@ def fitted(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
 def found_in(text: str, private: frozenset[str]) -> tuple[list[Span], list[Span]]:
     """The base spans of a text, and those that the method adds."""
     base = base_spans(text)
-    return base, [span for span, votes in candidates(text, base) if pattern_of(span, votes) in private]
+    return base, [span for span, votes in candidates(text, base) if pattern_of(span, votes, text) in private]
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,6 +129,11 @@ def test_nearest(spark):
     hits = sum(s >= want[q][-1][1] - 1e-9 for q in want for _, s in got[q])
     assert hits >= 0.9 * 5 * len(want)
     assert [i for i, _ in got[1000]] == [1001, 1002, 1003, 1004, 1005] and [i for i, _ in got[1050]] == [1000, 1001, 1002, 1003, 1004]
+    far = [(0, [1e-200] * 4), (1, [1e200, 1e200, 1e200, 0.0]), (2, [1e300, -1e300, 0.0, 0.0]), (3, [5e-324, 0.0, 0.0, 0.0]), (4, [2.0] * 4)]
+    got = ann.nearest(spark.createDataFrame(far, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [4, 1, 3, 2] and np.allclose([r.score for r in got], [1, 0.75**0.5, 0.5, 0])
+    tied = [(0, [1.0, 0.0])] + [(i, [2.0**i, 2.0**i]) for i in range(8, 0, -1)]
+    assert [r.vec_id for r in ann.nearest(spark.createDataFrame(tied, "vec_id long, embedding array<double>")).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).collect()] == [(0, 1, 1)]
     assert ann.nearest(few.limit(0)).count() == 0
@@ -264,13 +269,30 @@ def test_weak_supervision(spark):
     assert pii.personal_data(empty(spark)).count() == 0 and pii.redacted(df).columns == df.columns
 
 
+def test_candidates_are_linear_and_apart():
+    """Many candidates in one text take time in proportion, and none touches a base span; cards pass their check sum."""
+    import time
+
+    line = "token=abcdef0123456789abcdef +1 (523) 555-1055x 4111111111111111234 4111111111111112 me.1@a1.example.com "
+    took = []
+    for n in (500, 4000):
+        text, start = line * n, time.perf_counter()
+        base = pii.base_spans(text)
+        new = [s for s, _ in pii.candidates(text, base)]
+        took.append(time.perf_counter() - start)
+        at = sorted((s, e) for _, s, e in [*base, *new])
+        assert len(new) >= n and all(a[1] <= b[0] for a, b in zip(at, at[1:]))
+        assert all(pii.luhn(text[s:e]) for k, s, e in new if k == pii.CARD)
+    assert took[1] < 24 * took[0]
+
+
 def test_span_classifier_held_out():
     """Trained on half of the labelled patterns' counts, right on the spans of the other half."""
     rng = random.Random(10)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     labelled = [(f"key: {hexes(32)}", True) for _ in range(200)] + [(f"the item-{rng.randint(1, 99)}-number{rng.randint(1, 99)} of", False) for _ in range(200)]
     rng.shuffle(labelled)
-    counts = collections.Counter(pii.pattern_of(s, v) for t, _ in labelled[:200] for s, v in pii.candidates(t, []))
+    counts = collections.Counter(pii.pattern_of(s, v, t) for t, _ in labelled[:200] for s, v in pii.candidates(t, []))
     private = pii.trained(counts)
     right = [bool(pii.found_in(t, private)[1]) == y for t, y in labelled[200:]]
     assert sum(right) >= 0.95 * len(right)
@@ -508,6 +530,9 @@ def test_pipeline(spark):
     assert c.columns == df.columns and c.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert all(r.n_chars == len(r.text) and "@" not in r.text for r in c.collect())
     assert cp.pack(spark, c, "").where("start = 0").count() == c.count()
+    odd = df.selectExpr("*", "'x' as kept", "1 as n_words", "2 as word_distance", "3 as label", "4 as `a.b`")
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, odd, "").columns == odd.columns and stage(spark, odd.limit(0), "").count() == 0
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "packing"] and cp.ORACLE_SQL is None
 
 
