@@ -97,8 +97,22 @@ def test_token_counts(spark, library, chunk):
     assert tokencount.token_counts(empty(spark), PATH).count() == 0
 
 
+def test_transducer_equals_library(library):
+    """Words, their beginnings, junk and words that leave the kept states; with few states too."""
+    rng = random.Random(20)
+    vocabulary = [t.replace("</w>", "") for t in library.get_vocab()]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(vocabulary, k=rng.randint(1, 4))).lower() for _ in range(4000)]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    words += [("ab" * 80)[: 60 + i] + "s" for i in range(10)] + ["the" * 90, "ééé漢字" * 30, "!?.,;" * 40]
+    machine = tokencount.Machine(bpe.WordBpe(PATH))
+    for w in words:
+        assert tokencount.count_tokens(tokencount.Batch(machine), w) == len(library.encode(w, add_special_tokens=False).ids), w
+    assert len(machine.last) == len(machine.count) == len(machine.to) + 1
+
+
 def test_chunk_maps_compose_in_any_grouping():
-    m = tokencount.compiled(PATH)
+    m = tokencount.Batch(tokencount.compiled(PATH))
     maps = [tokencount.chunk_map(m, x) for x in ("ab", "c d ef", "gh", " i", "jk l", "m ")]
     left = maps[0]
     for x in maps[1:]:
