@@ -81,14 +81,30 @@ def _json_string(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
-def to_json(els: DataFrame, front: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json): the canonical machine form; with ``front`` (doc_id, front json) the frontmatter too."""
+def spatial_json(blocks: DataFrame) -> DataFrame:
+    """(doc_id, spatial): a document's grid blocks in order as a JSON list; null for a document without any."""
+    ints = lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"])
+    boxes = lambda a: F.when(F.size(a["cell_bboxes"]) > 0, F.transform(a["cell_bboxes"], ints))
+    line = lambda a: F.struct(a["line_text"].alias("text"), F.when(a["bbox"].isNotNull(), ints(a["bbox"])).alias("bbox"), boxes(a).alias("cell_bboxes"))
+    block = F.struct("page", F.concat_ws("x", "grid_w", "grid_h").alias("grid"), F.transform("annotations", line).alias("annotations"))
+    ordered = F.array_sort(F.collect_list(F.struct("block_idx", F.to_json(block, {"ignoreNullFields": "false"}).alias("s"))))
+    return blocks.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda b: b["s"]), ","), F.lit("]")).alias("spatial"))
+
+
+def to_json(els: DataFrame, front: DataFrame | None = None, spatial: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): the canonical machine form; with ``front`` (doc_id, front json) the frontmatter
+    too, and with it the layers: ``spatial`` blocks, and ``metadata`` (doc_id, metadata json)."""
     out = els.select("doc_id", "pos", element_json().alias("s")).groupBy("doc_id").agg(X.joined_in_order(C("s"), C("pos"), ",").alias("e"))
     if front is None:
         return out.select("doc_id", F.concat(F.lit('{"elements":['), C("e"), F.lit("]}")).alias("json"))
     both = front.select("doc_id", "front").join(out, "doc_id", "left")
     version = F.coalesce(F.get_json_object("front", "$.version"), F.lit("1.0"))
-    return both.select("doc_id", F.concat(F.lit('{"dox_version":'), _json_string(version), F.lit(',"frontmatter":'), C("front"), F.lit(',"elements":['), F.coalesce("e", F.lit("")), F.lit("]}")).alias("json"))
+    layers = F.lit("")
+    for name, layer in (("spatial", None if spatial is None else spatial_json(spatial)), ("metadata", metadata)):
+        if layer is not None:
+            both = both.join(layer.select("doc_id", name), "doc_id", "left")
+            layers = F.concat(layers, F.coalesce(F.concat(F.lit(f',"{name}":'), C(name)), F.lit("")))
+    return both.select("doc_id", F.concat(F.lit('{"dox_version":'), _json_string(version), F.lit(',"frontmatter":'), C("front"), F.lit(',"elements":['), F.coalesce("e", F.lit("")), F.lit("]"), layers, F.lit("}")).alias("json"))
 
 
 # Markdown

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -58,11 +59,12 @@ def pages_from_spatial(els: DataFrame, annotations: DataFrame, threshold: float
 
 
 def table_roots(els: DataFrame) -> DataFrame:
-    """(doc_id, pos, root): for each table the table that it continues, through any number of steps.
+    """(doc_id, pos, root, named): for each table the table that it continues, through any number of
+    steps, and whether it names what it continues.
 
     A table continues the one that its continuation_of names (the last table of that id), or,
     without header rows and without that, the table before it across one page break, if
-    both are equally wide.
+    both are equally wide. Tables that continue each other in a circle continue the first of them.
     """
     w = in_order()
     row = F.struct("etype", "pos", X.num_cols("rows").alias("cols"))
@@ -74,30 +76,40 @@ def table_roots(els: DataFrame) -> DataFrame:
     mine = tables.withColumn("beside", beside).select("doc_id", "pos", "continuation_of", "beside")
     other = named.select(C("doc_id").alias("named_doc"), "name", "named_pos")
     links = mine.join(other, (C("doc_id") == C("named_doc")) & (C("continuation_of") == C("name")) & (C("pos") != C("named_pos")), "left").select(
-        "doc_id", "pos", F.coalesce("named_pos", "beside").alias("up")
+        "doc_id", "pos", F.coalesce("named_pos", "beside").alias("up"), C("named_pos").isNotNull().alias("named")
     )
-    # chains are as long as a table has pages: each document's links are followed within one row
-    rows = links.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("up", "pos")))).alias("up"), F.count("*").alias("n"))
-    def climb(p: Column) -> Column:
-        step = lambda acc, _i: F.when(F.try_element_at("up", acc) == acc, acc).otherwise(F.try_element_at("up", acc))
-        return F.aggregate(F.sequence(F.lit(1), C("n").cast("int")), p, step)
-    each = F.transform(F.map_keys("up"), lambda p: F.struct(p.alias("pos"), climb(p).alias("root")))
-    return rows.select("doc_id", F.inline(each))
+    # a document's links are followed within one row, by places in an array: each round doubles
+    # the steps and takes the least place on the way, which in a circle ends with its first table
+    rows = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "up", "named"))).alias("l")).withColumn("places", C("l.pos"))
+    at = F.transform("l", lambda x, i: F.when(x["up"].isNull(), i + 1).otherwise(F.array_position("places", x["up"]).cast("int")))
+    start = F.struct(at.alias("up"), F.transform("l", lambda _x, i: i + 1).alias("low"))
+    lower = lambda acc: F.transform(acc["low"], lambda x, i: F.least(x, F.get(acc["low"], F.get(acc["up"], i) - 1)))
+    double = lambda acc, _i: F.struct(F.transform(acc["up"], lambda x: F.get(acc["up"], x - 1)).alias("up"), lower(acc).alias("low"))
+    rounds = F.ceil(F.log2(F.size("l").cast("double"))).cast("int") + 1
+    ends = rows.withColumn("end", F.aggregate(F.sequence(F.lit(1), rounds), start, double))
+    root = lambda i: F.get("places", F.get(C("end.low"), F.get(C("end.up"), i) - 1) - 1)
+    return ends.select("doc_id", F.inline(F.transform("l", lambda x, i: F.struct(x["pos"].alias("pos"), root(i).alias("root"), x["named"].alias("named")))))
 
 
 def merge_tables(els: DataFrame) -> DataFrame:
-    """Continued tables joined to their first part: data rows appended in order, page range widened."""
+    """Continued tables joined to their first part: data rows appended in order, page range widened.
+
+    A named part on a known page widens the range, from page 1 if the first part's is not
+    known; a part beside the first only if both pages are known.
+    """
     roots = table_roots(els)
     tables = els.where("etype = 'table'").join(roots, ["doc_id", "pos"])
-    parts = F.array_sort(F.collect_list(F.struct("pos", "rows", "page", "page_range")))
+    parts = F.array_sort(F.collect_list(F.struct((C("pos") != C("root")).alias("later"), "pos", "rows", "page", "page_range", "named")))
     merged = tables.groupBy("doc_id", "root").agg(parts.alias("parts"), F.count("*").alias("k"))
     first = F.get("parts", F.lit(0))
-    more = F.flatten(F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.coalesce(p["rows"], F.array().cast(els.schema["rows"].dataType))))
-    ends = F.array_max(F.transform("parts", lambda p: F.coalesce(p["page_range"]["end"], p["page"])))
-    start = F.coalesce(first["page_range"]["start"], first["page"], ends)
+    later = F.slice("parts", 2, F.size("parts"))
+    more = F.flatten(F.transform(later, lambda p: F.coalesce(p["rows"], F.array().cast(els.schema["rows"].dataType))))
+    known = F.filter(later, lambda p: p["page"].isNotNull() & (p["named"] | first["page"].isNotNull()))
+    ends = F.greatest(first["page_range"]["end"], F.array_max(F.transform(known, lambda p: p["page"])))
+    start = F.coalesce(first["page_range"]["start"], first["page"], F.lit(1))
     joined = merged.where("k > 1").select(
-        "doc_id", C("root").alias("pos"), F.concat(first["rows"], more).alias("all_rows"),
-        F.when(ends.isNotNull(), F.struct(start.alias("start"), ends.alias("end"))).alias("wide"),
+        "doc_id", C("root").alias("pos"), F.concat(F.coalesce(first["rows"], F.array().cast(els.schema["rows"].dataType)), more).alias("all_rows"),
+        F.when(F.size(known) > 0, F.struct(start.alias("start"), ends.alias("end"))).alias("wide"),
     )
     gone = roots.where("pos <> root").select("doc_id", "pos")
     kept = els.join(gone, ["doc_id", "pos"], "left_anti").join(joined, ["doc_id", "pos"], "left")
@@ -115,7 +127,9 @@ def merge_paragraphs(els: DataFrame, alike: float = 0.9) -> DataFrame:
     long = could & (F.length(a) > 20) & (F.length(b) > 20)
     edge = lambda x, side: side(x, F.least(F.lit(30), F.length(x)))
     # alike at the boundary means the same text twice, not a sentence cut in two
-    rows = split.withColumns({"_could": could, "_long": long, "_a": F.when(long, edge(a, F.right)), "_b": F.when(long, edge(b, F.left))})
+    # a ratio above ``alike`` leaves few of at most 60 characters unmatched, so few edits apart
+    close = long & (F.levenshtein(edge(a, F.right), edge(b, F.left), math.ceil((1 - alike) * 60)) >= 0)
+    rows = split.withColumns({"_could": could, "_long": close, "_a": F.when(close, edge(a, F.right)), "_b": F.when(close, edge(b, F.left))})
     ok = rows.withColumn("_fit", F.when(C("_long"), similarity("_a", "_b") <= alike).otherwise(C("_could"))).drop("_could", "_long", "_a", "_b")
     # eligible pairs in a row start two positions apart; keep every other one of each run
     step = ok.withColumn("_prev", F.lag("_fit", 2, False).over(w))

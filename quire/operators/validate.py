@@ -84,10 +84,15 @@ def targets(els: DataFrame) -> DataFrame:
 
 
 def unresolved(els: DataFrame) -> DataFrame:
-    """Cross-references and charts' data references that name nothing in their document: one anti join."""
-    refs = els.where("etype = 'crossref'").select("doc_id", C("ref_id").alias("target"), C("element_id"), F.lit("ref_unresolved").alias("kind"))
-    data = els.where("etype = 'chart' AND data_ref <> ''").select("doc_id", C("data_ref").alias("target"), C("element_id"), F.lit("chart_unresolved").alias("kind"))
-    lost = refs.unionByName(data).join(targets(els), ["doc_id", "target"], "left_anti")
+    """Cross-references and charts' data references that name nothing in their document, in one pass over its elements."""
+    said = lambda when, target, kind: F.when(when, F.struct(target.alias("target"), F.lit(kind).alias("kind")))
+    each = F.array(
+        said(C("element_id") != "", C("element_id"), ""), said((C("etype") == "table") & (C("table_id") != ""), C("table_id"), ""),
+        said(C("etype") == "crossref", C("ref_id"), "ref_unresolved"), said((C("etype") == "chart") & (C("data_ref") != ""), C("data_ref"), "chart_unresolved"),
+    )
+    names = els.select("doc_id", "element_id", F.inline(F.filter(each, lambda x: x.isNotNull())))
+    known = F.max(C("kind") == "").over(Window.partitionBy("doc_id", "target"))
+    lost = names.withColumn("known", known & C("target").isNotNull()).where("NOT known AND kind <> ''")
     return lost.select("doc_id", C("kind").alias("rule"), F.lit("warning").alias("severity"), _msg("nothing is named ", C("target")).alias("message"), "element_id", F.lit(0).alias("layer"))
 
 

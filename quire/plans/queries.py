@@ -193,7 +193,8 @@ def unresolved_refs(spark, sf_dir):
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = A.orders_html(spark, sf_dir)
-    return P.as_elements(html.select("doc_id", F.lit(0).alias("pos"), F.lit("table").alias("etype"), html_rows(C("html")).alias("rows")))
+    # exploded from an array of one, so that each of the columns that use the rows doesn't parse them again
+    return P.as_elements(html.select("doc_id", F.lit(0).alias("pos"), F.lit("table").alias("etype"), F.explode(F.array(html_rows(C("html")))).alias("rows")))
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(count(l_orderkey) + 1 AS INT) AS num_rows, CAST(CASE WHEN coalesce(bool_or(l_linenumber % 2 = 0), false) THEN 3 ELSE 2 END AS INT) AS num_cols,

@@ -41,20 +41,21 @@ def bbox(poly: Column, width: Column, height: Column, grid: int) -> Column:
 
 def detections(pages: DataFrame, grid: int = 1000) -> DataFrame:
     """(doc_id, page, at, …): detections of all pages in reading order, unordered ones last, those
-    to skip and those without content left out."""
-    each = pages.select("doc_id", C("page_info.page_no").alias("page"), C("page_info.width").alias("w"), C("page_info.height").alias("h"), F.posexplode("layout_dets").alias("at", "d")).select(
+    to skip left out. Pages count from 0 in the source and from 1 here."""
+    each = pages.select("doc_id", (C("page_info.page_no") + 1).alias("page"), C("page_info.width").alias("w"), C("page_info.height").alias("h"), F.posexplode("layout_dets").alias("at", "d")).select(
         "doc_id", "page", "w", "h", "at", "d.*"
     )
     names = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
     kind = F.coalesce(F.try_element_at(names, C("category_type")), F.lit("paragraph"))
     content = X.stripped(F.coalesce(F.when(kind == "table", C("html")), F.when(kind == "mathblock", C("latex")), C("text"), F.lit("")))
     kept = each.withColumns({"etype": kind, "content": content, "box": bbox(C("poly"), C("w"), C("h"), grid)})
-    return kept.where((C("etype") != "skip") & ((C("content") != "") | (C("etype") == "figure")))
+    return kept.where(C("etype") != "skip")
 
 
 def to_elements(pages: DataFrame, grid: int = 1000) -> DataFrame:
-    """Elements of each document: its pages in order, with a page break between them."""
-    d = detections(pages, grid)
+    """Elements of each document: its pages in order, with a page break between them, numbered by
+    order. Blank detections are no elements, but for figures."""
+    d = detections(pages, grid).where((C("content") != "") | (C("etype") == "figure"))
     level = X.try_int(C("attribute")["level"], None)
     by_length = F.when(F.length("content") < 30, 1).when(F.length("content") < 60, 2).otherwise(3)
     latex = F.regexp_replace(C("content"), r"^\$\$?|\$\$?$", "")
@@ -69,15 +70,16 @@ def to_elements(pages: DataFrame, grid: int = 1000) -> DataFrame:
         F.when(C("etype") == "footnote", F.row_number().over(Window.partitionBy("doc_id", "etype").orderBy("page", "at"))).alias("number"),
         C("category_type").isin("header", "footer").alias("is_furniture"),
     )
-    steps = pages.select("doc_id", C("page_info.page_no").alias("page")).distinct().withColumn("before", F.lag("page").over(Window.partitionBy("doc_id").orderBy("page"))).where("before IS NOT NULL")
-    breaks = steps.select("doc_id", "page", F.lit(-1).alias("o"), F.lit(-1).alias("at"), F.lit("pagebreak").alias("etype"), C("before").alias("from_page"), C("page").alias("to_page"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    steps = pages.select("doc_id", (C("page_info.page_no") + 1).alias("page")).distinct().withColumn("nth", nth).where("nth > 1")
+    breaks = steps.select("doc_id", "page", F.lit(-1).alias("o"), F.lit(-1).alias("at"), F.lit("pagebreak").alias("etype"), (C("nth") - 1).alias("from_page"), C("nth").alias("to_page"))
     both = own.unionByName(breaks, allowMissingColumns=True)
     placed = both.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "o", "at")) - 1)
     return as_elements(placed.withColumn("page", F.when(C("etype") != "pagebreak", C("page"))))
 
 
 def to_spatial(pages: DataFrame, grid: int = 1000) -> DataFrame:
-    """(doc_id, block_idx, page, grid_w, grid_h, annotations): one block for each page."""
+    """(doc_id, block_idx, page, grid_w, grid_h, annotations): one block for each page, blank detections included."""
     a = F.struct(F.left("content", F.lit(80)).alias("line_text"), C("box").alias("bbox"), F.lit(None).cast("array<struct<x1:int,y1:int,x2:int,y2:int>>").alias("cell_bboxes"))
     rows = F.array_sort(F.collect_list(F.struct(F.coalesce("order", F.lit(999)).alias("o"), "at", a.alias("a"))))
     blocks = detections(pages, grid).where("box IS NOT NULL").groupBy("doc_id", "page").agg(F.transform(rows, lambda r: r["a"]).alias("annotations"))
@@ -110,4 +112,5 @@ def heading_level(size: Column, body: Column, bold: Column, text: Column) -> Col
 
 def looks_like_math(text: Column) -> Column:
     """Whether a line holds LaTeX commands."""
-    return text.rlike(r"\\(frac|sum|int|sqrt|alpha|beta|gamma|infty|partial|begin)|[_^]\{")
+    # fixed values: the commands that count
+    return text.rlike(r"\\(frac|sum|int|sqrt|alpha|beta|begin\{|end\{|left|right)")

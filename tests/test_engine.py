@@ -239,10 +239,17 @@ def test_layout_json(spark, tmp_path):
         {"category_type": "abandon", "text": "gone"},
         {"category_type": "equation_isolated", "latex": "$$a$$"},
     ]
-    (tmp_path / "a.json").write_text(json.dumps([page(1, dets), page(2, [{"category_type": "table", "html": "<table><tr><td>1</td></tr></table>"}])]))
+    (tmp_path / "a.json").write_text(json.dumps([page(0, dets), page(4, [{"category_type": "table", "html": "<table><tr><td>1</td></tr></table>"}])]))
     pages = layout_json.read_pages(spark, str(tmp_path / "a.json"))
     got = [(r.etype, r.text or r.expression) for r in layout_json.to_elements(pages).orderBy("pos").collect()]
     assert got == [("paragraph", "Body"), ("heading", "A title"), ("mathblock", "a"), ("pagebreak", None), ("table", None)]
+    rows = layout_json.to_elements(pages).orderBy("pos").collect()
+    assert [(r.page, r.from_page, r.to_page) for r in rows] == [(1, None, None)] * 3 + [(None, 1, 2), (5, None, None)]
+    blank = {"category_type": "text_block", "order": 3, "poly": [0, 0, 1, 1], "text": " "}
+    (tmp_path / "b.json").write_text(json.dumps([page(0, [*dets, blank])]))
+    assert len(layout_json.to_spatial(layout_json.read_pages(spark, str(tmp_path / "b.json"))).first().annotations) == 3
+    math = spark.createDataFrame([(r"\\left(",), (r"\\end{x}",), (r"\\gamma",), ("a_{1}",)], "t string")
+    assert [r[0] for r in math.select(layout_json.looks_like_math(F.col("t"))).collect()] == [True, True, False, False]
     box = layout_json.to_spatial(pages).orderBy("block_idx").first().annotations[1].bbox
     assert (box.x1, box.y1, box.x2, box.y2) == (100, 100, 500, 200)
     assert layout_json.language(pages).first().lang == "en"
@@ -250,6 +257,51 @@ def test_layout_json(spark, tmp_path):
     assert (f.body_size, f.mean_size) == (12.0, 13.0)
 
 
+def test_tables_in_circles_and_their_pages(spark):
+    from quire.operators import merge
+    from quire.operators.parse import as_elements
+
+    def table(doc, pos, name, of=None, page=None, etype="table", header=False):
+        return (doc, pos, etype, name, of, page, [(header, [(f"{name}{pos}", header, 1, 1)])] if etype == "table" else None)
+
+    ddl = "doc_id int, pos int, etype string, table_id string, continuation_of string, page int, rows array<struct<is_header:boolean,cells:array<struct<text:string,is_header:boolean,colspan:int,rowspan:int>>>>"
+    rows = [table(1, 0, "a", "b", 1), table(1, 1, "b", "a", 2), table(1, 2, "c", None, 9)]  # two name each other
+    rows += [table(2, i, f"t{i}", f"t{(i + 1) % 5}", i + 1) for i in range(5)]  # a circle of five
+    rows += [table(3, 0, "p"), table(3, 1, "q", "p", 3)]  # the first part's page is not known
+    rows += [table(4, 0, "x", None, None, header=True), table(4, 1, None, None, None, "pagebreak"), table(4, 2, "y", None, 3)]  # beside, one page known
+    rows += [table(5, 0, "x", None, 2, header=True), table(5, 1, None, None, None, "pagebreak"), table(5, 2, "y", None, 3), table(5, 3, "z", "y", 4), table(5, 4, "s", "s", 7)]
+    got = merge.merge_tables(as_elements(spark.createDataFrame(rows, ddl))).where("etype = 'table'").orderBy("doc_id", "pos").collect()
+    seen = [(r.doc_id, r.pos, len(r.rows), r.page_range and tuple(r.page_range)) for r in got]
+    assert seen == [(1, 0, 2, (1, 2)), (1, 2, 1, None), (2, 0, 5, (1, 5)), (3, 0, 2, (1, 3)), (4, 0, 2, None), (5, 0, 3, (2, 4)), (5, 4, 1, None)]
+
+
+def test_unresolved_in_one_pass(spark):
+    from quire.operators import validate
+    from quire.operators.parse import as_elements
+
+    rows = [(1, 0, "table", "t1", None, None, None), (1, 1, "crossref", None, "t1", None, "c1"), (1, 2, "crossref", None, "gone", None, "c2"), (1, 3, "chart", None, None, "c1", None), (1, 4, "chart", None, None, "t9", None), (2, 0, "crossref", None, "t1", None, None), (2, 1, "crossref", None, None, None, None)]
+    els = as_elements(spark.createDataFrame(rows, "doc_id int, pos int, etype string, table_id string, ref_id string, data_ref string, element_id string"))
+    got = validate.unresolved(els)
+    assert sorted((r.doc_id, r.rule, r.element_id or "") for r in got.collect()) == [(1, "chart_unresolved", ""), (1, "ref_unresolved", "c2"), (2, "ref_unresolved", ""), (2, "ref_unresolved", "")]
+
+
+def test_json_with_layers(spark):
+    import json
+
+    from quire.operators import export
+    from quire.operators.parse import as_elements
+
+    els = as_elements(spark.createDataFrame([(1, 0, "paragraph", "x"), (2, 0, "paragraph", "y")], "doc_id int, pos int, etype string, text string"))
+    front = spark.createDataFrame([(1, '{"version":"1.0"}'), (2, '{"version":"1.0"}')], "doc_id int, front string")
+    box = "struct<x1:int,y1:int,x2:int,y2:int>"
+    blocks = spark.createDataFrame([(1, 0, 3, 1000, 900, [("a", (1, 2, 3, 4), None), ("b", None, [(5, 6, 7, 8)])])], f"doc_id int, block_idx int, page int, grid_w int, grid_h int, annotations array<struct<line_text:string,bbox:{box},cell_bboxes:array<{box}>>>")
+    meta = spark.createDataFrame([(1, '{"k":1}')], "doc_id int, metadata string")
+    got = {r.doc_id: json.loads(r.json) for r in export.to_json(els, front, blocks, meta).collect()}
+    lines = [{"text": "a", "bbox": [1, 2, 3, 4], "cell_bboxes": None}, {"text": "b", "bbox": None, "cell_bboxes": [[5, 6, 7, 8]]}]
+    assert got[1]["spatial"] == [{"page": 3, "grid": "1000x900", "annotations": lines}] and got[1]["metadata"] == {"k": 1}
+    assert sorted(got[2]) == ["dox_version", "elements", "frontmatter"]
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
@@ -258,7 +310,7 @@ def test_queries_match_their_sql(spark):
     con, d = duckdb.connect(), "/root/testdata/sf0.001"
     for t in "orders lineitem documents labels events part supplier conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("parse_order_tables", "merge_tables", "semantic_chunks", "diff_elements", "heading_path"):
+    for name in ("parse_order_tables", "merge_tables", "unresolved_refs", "html_table_import", "semantic_chunks", "diff_elements", "heading_path"):
         df = QUERIES[name](spark, d)
         cur = con.execute(ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
