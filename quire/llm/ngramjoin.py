@@ -66,7 +66,7 @@ class Settings:
     most_frequent: int = 200_000
     #: Members beyond which a bucket of tokens or of their pairs is split, and beyond which one
     #: that comes out of a split is split again.
-    large_bucket: int = 32
+    large_bucket: int = 12
     large_split: int = 256
     #: Two rounds of signatures, then splits; the last round enumerates what is left.
     rounds: int = 6
@@ -79,7 +79,7 @@ class Settings:
 
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(1, 64)], dtype=np.uint64)
-MOST_WORDS = 1 << 19
+MOST_WORDS = 1 << 17
 
 
 class WordHashes(dict):
@@ -371,6 +371,8 @@ def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: n
     tokens, rare before frequent, since few members share it.
     """
     pairs = stored(large.where(F.col("node") != F.col("hub")).select("hub", "n_hub", "node", "n", (F.col("label") != F.col("hub_label")).alias("minor")).distinct(), "apart")
+    # where all members are minor, there is nobody to meet beyond the first part of a prefix
+    majors = pairs.groupBy("hub").agg(F.bool_or(~F.col("minor")).alias("majors"))
     sets = stored(token_sets(holding(source, pairs.select("node").union(pairs.select("hub")).distinct(), sizes, s), s, seed), "sets")
     often = source.sparkSession.sparkContext.broadcast(frequent)
     side = lambda x, y: sets.select(F.col("node").alias(x), F.col("tokens").alias(y))
@@ -379,14 +381,14 @@ def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: n
         for batch in batches:
             for b in slices(slices([batch], "own", 4 << 20), "base", 4 << 20):
                 keys, nodes, sizes_, xs, early, major = [], [], [], [], [], []
-                columns = (b.column(c).to_pylist() for c in ("hub", "n_hub", "node", "n", "minor", "own", "base"))
-                for hub, n_hub, node, n, minor, own, base in zip(*columns, strict=True):
+                columns = (b.column(c).to_pylist() for c in ("hub", "n_hub", "node", "n", "minor", "majors", "own", "base"))
+                for hub, n_hub, node, n, minor, majors, own, base in zip(*columns, strict=True):
                     own, base = np.frombuffer(own, dtype=np.uint64), np.frombuffer(base, dtype=np.uint64)
                     x = np.setxor1d(own, base, assume_unique=True)
                     lacks, known = np.isin(x, base, assume_unique=True), np.isin(x, often.value, assume_unique=True)
                     parts = [x[~lacks & ~known], x[~lacks & known], x[lacks]]
                     all_, first = (end_of(parts, p) for p in prefixes_apart(len(x), n, n_hub, minor, s))
-                    x = np.concatenate(parts)[:all_]
+                    x = np.concatenate(parts)[: all_ if majors else first]
                     if len(x):
                         keys.append(mixed(x * _MULTIPLIERS[13] + np.uint64(hub % 2**64)))
                         each = len(x)
@@ -402,8 +404,8 @@ def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: n
                         ["signature", "node", "n", "x", "early", "major"],
                     )
 
-    full = pairs.join(side("node", "own"), "node").join(bounded_sets(side("hub", "base"), pairs.select("hub").distinct(), s), "hub")
-    rows = per_batch(full.select("hub", "n_hub", "node", "n", "minor", "own", "base"), run, "signature long, node long, n int, x int, early boolean, major boolean")
+    full = pairs.join(majors, "hub").join(side("node", "own"), "node").join(bounded_sets(side("hub", "base"), pairs.select("hub").distinct(), s), "hub")
+    rows = per_batch(full.select("hub", "n_hub", "node", "n", "minor", "majors", "own", "base"), run, "signature long, node long, n int, x int, early boolean, major boolean")
     return rows, pairs, sets
 
 
