@@ -277,12 +277,15 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data masked in the text; null texts stay null."""
     private = fitted(docs, text_col)
     at = docs.columns.index(text_col)
+    own = f"c{at}"
 
     def run(batches):
-        for b in slices(batches, text_col):
-            texts = [t and masked(t, sum(found_in(t, private), [])) for t in b.column(text_col).to_pylist()]
+        for b in slices(batches, own):
+            texts = [t and masked(t, sum(found_in(t, private), [])) for t in b.column(own).to_pylist()]
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    source = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return per_batch(source, run, source.schema)
+    # columns go by their places, since extra ones may have any name
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    source = placed.withColumn(own, F.col(own).cast("string"))
+    return per_batch(source, run, source.schema).toDF(*docs.columns)

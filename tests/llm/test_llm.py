@@ -406,7 +406,7 @@ def near_copies(seed):
 SPLITS = ngramjoin.Settings(least_frequent=2, large_bucket=2, large_split=2, rounds=4)
 
 
-@pytest.mark.parametrize("percent, rounds", [(60, 3), (75, 4)])
+@pytest.mark.parametrize("percent, rounds", [(75, 4)])
 def test_split_buckets(spark, percent, rounds):
     rows = near_copies(21)
     settings = dataclasses.replace(SPLITS, percent=percent, rounds=rounds)
