@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (a test on one
-    machine) a temporary folder is made once and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all runs in one
+    process (``local[...]``, as in tests) a temporary folder is made once and set for the
+    session; on a cluster it would be scattered over the machines, so that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", known)
     if spark.sparkContext.getCheckpointDir() is None:
