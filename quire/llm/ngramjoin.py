@@ -2,10 +2,12 @@
 
 A document is the set of hashes of its word n-grams. Let a set of n tokens lack at most t of
 them in any partner (t follows from the similarity). Tokens have one order for all documents:
-rare ones first, frequent ones last, by hash within either class.
+by the number of documents that hold them, the rarest first.
 
-* A document whose first t + 1 tokens are rare indexes these, one signature each: the first
-  token that it shares with a partner is among them, and also in the partner's prefix.
+* Rare tokens are counted exactly, in parts by hash, as packed arrays. A document whose first
+  t + 1 tokens are rare indexes these, one signature each: the first token that it shares with
+  a partner is among them, and also in the partner's prefix. Tokens that a single document
+  holds take their place in the prefix, but are nowhere to be met, so they are not emitted.
 * Otherwise it indexes all its rare tokens, r of them, and, since a partner that shares none of
   these differs in at most t - r frequent ones, 2-token combinations of its first t - r + g + 1
   frequent tokens. These hold the first g + 1 shared ones; tokens are dealt by hash into g
@@ -13,24 +15,18 @@ rare ones first, frequent ones last, by hash within either class.
   on the band of the set's size; partners lie in the same or the next band, so each document
   indexes its own band's pairs and the next one's. Very small sets use single tokens.
 
-Frequent are the tokens that several documents of the same batches hold; how they are chosen
+Frequent are the tokens that many documents of the same batches hold; how they are chosen
 changes the amount of work, never the result. Documents meet in the buckets of equal
 signatures. A bucket first links its members to its hub, which settles groups of near copies
 without their pairs; pairs are then made only between members that are not yet connected, and
 each candidate is verified on the whole sets.
 
-A large bucket is never enumerated while rounds are left. If its signature is a single token,
-that becomes frequent, and its documents are indexed once more. Otherwise the combination is
-extended by one more token, out of the tokens in which a member differs from the hub: members
-that are not connected are not both similar to the hub, and if similar sets differ from a third
-one by more than they may differ from each other, part of these differences is the same. So
-(hub, token) is a signature again, over prefixes that the sizes of the differences allow, with
-buckets that hold only what deviates from the hub in the same place; these are treated
-like any others, in the next round.
-
-Before sets are fetched, a pair is held against what its prefixes already say: of the tokens
-up to the earlier of the two prefixes' ends exactly the counted ones are shared, so the whole
-sets share at most these and all that lies beyond it.
+A large bucket is not enumerated while rounds are left. It is extended by one more token, out
+of the tokens in which a member differs from the hub: members that are not connected are not
+both similar to the hub, and if similar sets differ from a third one by more than they may
+differ from each other, part of these differences is the same. So (hub, token) is a signature
+again, over prefixes that the sizes of the differences allow, with buckets that hold only what
+deviates from the hub in the same place; these are treated like any others, in the next round.
 
 Documents with equal sets are one node all along. Nothing of the size of the corpus is ever
 collected: links, components and sets stay distributed.
@@ -60,16 +56,19 @@ class Settings:
     percent: int = 75
     #: A token is frequent if the batches of documents in which at least ``in_batch`` hold it
     #: have so many holders together.
-    in_batch: int = 2
-    least_frequent: int = 12
+    in_batch: int = 8
+    least_frequent: int = 64
     #: Frequent tokens that are broadcast at most (the most frequent are taken first).
     most_frequent: int = 200_000
     #: Members beyond which a bucket of tokens or of their pairs is split, and beyond which one
     #: that comes out of a split is split again.
     large_bucket: int = 12
     large_split: int = 256
-    #: Two rounds of signatures, then splits; the last round enumerates what is left.
-    rounds: int = 6
+    #: A round of signatures, then splits; the last round enumerates what is left.
+    rounds: int = 5
+    #: Parts that rare tokens are counted in: so many at least, of about so many tokens at most.
+    least_parts: int = 256
+    part_tokens: int = 6_000_000
     #: Smallest set that pairs of tokens are made for.
     least_paired: int = 16
     #: Rows up to which a table of nodes is broadcast; beyond, it is joined by a shuffle.
@@ -160,39 +159,43 @@ def level_end(tokens: np.ndarray, count: int) -> int:
     return int(np.searchsorted(tokens, tokens[count - 1] | np.uint64((1 << 58) - 1), side="right"))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, s: Settings) -> tuple[np.ndarray, int, int | None]:
-    """The signatures of a set, how many of them (the first ones) are single tokens, and, if all
-    of them are rare tokens, the last one as a signed number."""
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent tokens, ascending, and the number of holders that each was seen with."""
+
+    tokens: np.ndarray
+    times: np.ndarray
+
+
+def parted(tokens: np.ndarray, frequent: Frequent, s: Settings) -> tuple[np.ndarray, int, np.ndarray]:
+    """The rare tokens of a set, how many of them it need not index (the last ones in the order
+    of tokens), and its signatures made of frequent tokens."""
     n = len(tokens)
-    lack = lacking(n, s.percent)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        is_frequent = frequent[at] == tokens
-        rare, late = tokens[~is_frequent], tokens[is_frequent]
-    else:
-        rare, late = tokens, tokens[:0]
-    if len(rare) > lack or not len(late):
-        single = rare[: level_end(rare, lack + 1)]
-        return single, len(single), int(single[-1:].view("i8")[0])
-    single, pairs, left = [rare], [], lack - len(rare)
+    lack, rare, late = lacking(n, s.percent), tokens, tokens[:0]
+    if len(frequent.tokens):
+        at = np.minimum(np.searchsorted(frequent.tokens, tokens), len(frequent.tokens) - 1)
+        held = frequent.tokens[at] == tokens
+        rare, late = tokens[~held], tokens[held]
+        late = late[np.argsort(frequent.times[at[held]], kind="stable")]
+    if len(rare) > lack:
+        return rare, len(rare) - lack - 1, tokens[:0]
+    found, left = [], lack - len(rare)
     own = int(np.searchsorted(bands(s.percent), n, side="right")) - 1
     for band in (own, own + 1):
         g = groups_of(band, s)
         if not g:
-            single.append(late[: level_end(late, left + 1)])
+            found.append(late[: left + 1])
             continue
-        some = late[: level_end(late, left + g + 1)]
+        some = late[: left + g + 1]
         group = mixed(some + np.uint64(band)) % np.uint64(g)
-        order = np.argsort(group, kind="stable")
+        order = np.lexsort((some, group))  # partners may hold other tokens in between
         some, group = some[order], group[order]
         step = 1
         while step < len(some) and (same := group[step:] == group[:-step]).any():
             a, b = some[:-step][same], some[step:][same]
-            pairs.append(mixed(a * _MULTIPLIERS[7] + b * _MULTIPLIERS[11] + np.uint64(band + 1)))
+            found.append(mixed(a * _MULTIPLIERS[7] + b * _MULTIPLIERS[11] + np.uint64(band + 1)))
             step += 1
-    ones = np.unique(np.concatenate(single))
-    twos = np.concatenate(pairs) if pairs else tokens[:0]
-    return np.concatenate([ones, twos]), len(ones), None
+    return rare, 0, np.unique(np.concatenate(found)) if found else tokens[:0]
 
 
 def sets_of(batches, column: str, s: Settings) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -229,36 +232,90 @@ def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
     return per_batch(source, run, "id long, node long, digest binary, n long, token long, times long")
 
 
-def indexed(source: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
-    """(signature, node, single, n, last, taken) of every distinct set that a task meets, once each."""
+def of_frequent(source: DataFrame, frequent: Frequent, s: Settings, seed: int) -> DataFrame:
+    """(signature, node) of the sets whose prefixes reach their frequent tokens."""
     often = source.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in sets_of(batches, "text", s):
-            parts: list[tuple[np.ndarray, int, int, int, int | None]] = []
+            nodes, keys = [], [np.empty(0, dtype=np.uint64)]
             for x in sets:
                 if len(x) and (node := node_of(x, seed)[0]) not in seen:
                     seen.add(node)
-                    keys, ones, end = signatures(x, often.value, s)
-                    parts.append((keys, ones, node, len(x), end))
-            if parts:
-                each = np.array([len(p[0]) for p in parts])
-                spread = lambda column, kind: pa.array(column, kind).take(pa.array(np.repeat(np.arange(len(parts)), each)))
-                single = np.concatenate([np.arange(len(p[0])) < p[1] for p in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([p[0] for p in parts]).view("i8")),
-                        spread([p[2] for p in parts], pa.int64()),
-                        pa.array(single),
-                        spread([p[3] for p in parts], pa.int32()),
-                        spread([p[4] for p in parts], pa.int64()),
-                        spread(each, pa.int32()),
-                    ],
-                    ["signature", "node", "single", "n", "last", "taken"],
-                )
-
-    return per_batch(source.select("text"), run, "signature long, node long, single boolean, n int, last long, taken int")
+                    found = parted(x, often.value, s)[2]
+                    nodes.append(np.full(len(found), node, dtype="i8"))
+                    keys.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(np.concatenate([np.empty(0, dtype="i8"), *nodes]))], ["signature", "node"])
+
+    return per_batch(source.select("text"), run, "signature long, node long")
+
+
+def of_rare(source: DataFrame, frequent: Frequent, parts: int, s: Settings, seed: int) -> DataFrame:
+    """(signature, node) of the rare tokens that sets index, but for those that one set alone holds.
+
+    A batch deals its tokens into ``parts`` by hash and sends each part as packed arrays: 32
+    bits a token, and the node once for its tokens of that part. Within a part tokens with
+    these bits in common count as one, which makes them look less rare and may add a candidate;
+    a prefix that would end between two of them holds both. What many documents of a batch hold is
+    frequent and not sent, so no part depends on a single token.
+    """
+    often = source.sparkSession.sparkContext.broadcast(frequent)
+
+    def dealt(batches):
+        seen: set[int] = set()
+        for _, sets in sets_of(batches, "text", s):
+            nodes, spares, rares = [], [], [np.empty(0, dtype=np.uint64)]
+            for x in sets:
+                if len(x) and (node := node_of(x, seed)[0]) not in seen:
+                    seen.add(node)
+                    rare, spare, _ = parted(x, often.value, s)
+                    nodes.append(node)
+                    spares.append(spare)
+                    rares.append(rare)
+            tokens = np.concatenate(rares)
+            if not len(tokens):
+                continue
+            part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype("i4")
+            order = np.argsort(part, kind="stable")
+            part, low = part[order], tokens[order].astype("<u4")
+            holder = np.repeat(np.arange(len(nodes)), list(map(len, rares[1:])))[order]
+            starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (holder[1:] != holder[:-1])])
+            runs, whose = np.diff(np.r_[starts, len(low)]).astype("<u4"), holder[starts]
+            node, spare = np.array(nodes, dtype="<i8")[whose], np.array(spares, dtype="<u4")[whose]
+            firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            at = np.searchsorted(starts, firsts)
+            cut = lambda a, bounds: pa.array([a[i:j].tobytes() for i, j in zip(bounds, [*bounds[1:], len(a)], strict=True)], pa.binary())
+            columns = [pa.array(part[firsts]), cut(low, firsts), cut(runs, at), cut(node, at), cut(spare, at)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "runs", "nodes", "spares"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        flat = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
+        tokens, runs = flat("tokens", "<u4"), flat("runs", "<u4")
+        order = np.argsort(tokens, kind="stable")
+        ascending = tokens[order]
+        starts = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
+        holders = np.diff(np.r_[starts, len(tokens)])
+        several = np.repeat(holders > 1, holders)
+        at = order[several]
+        whose = np.searchsorted(np.cumsum(runs), at, side="right")
+        signature = (np.int64(table.column("part")[0].as_py()) << 32) | ascending[several].astype("i8")
+        columns = [signature, flat("nodes", "<i8")[whose], flat("spares", "<u4")[whose].astype("i4"), np.repeat(holders, holders)[several].astype("i4")]
+        return pa.table([pa.array(c) for c in columns], ["signature", "node", "spare", "holders"])
+
+    each = per_batch(source.select("text"), dealt, "part int, tokens binary, runs binary, nodes binary, spares binary")
+    held = each.groupBy("part").applyInArrow(counted, "signature long, node long, spare int, holders int")
+    own = Window.partitionBy("node")
+    placed = held.withColumns({"all": F.count("*").over(own), "place": F.rank().over(own.orderBy("holders", "signature"))})
+    return placed.where("place <= all - spare").select("signature", "node")
+
+
+def without_copies(source: DataFrame, rows: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """``source`` without rows whose set an earlier id holds, if their ids are few enough to be
+    broadcast; otherwise copies count as holders, which only makes their tokens look less rare."""
+    firsts = sizes.select(F.col("first").alias("id"))
+    later = stored(rows.join(sizes.select("node", "first"), "node").where("id <> first").select("id").distinct().join(firsts, "id", "left_anti"), "copies")
+    return source.join(F.broadcast(later), "id", "left_anti") if later.count() <= s.most_sent else source
 
 
 def holding(source: DataFrame, nodes: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
@@ -287,23 +344,9 @@ def token_sets(source: DataFrame, s: Settings, seed: int) -> DataFrame:
     return per_batch(source.select("text"), run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def possible(pairs: DataFrame, s: Settings) -> DataFrame:
-    """The distinct pairs (a, b) that their sizes and prefixes leave possible, from rows
-    (a, b, weight) that tell the number of signatures that a and b share, and for either side
-    its size n, and, if its signatures are rare tokens only, the last and the number of them."""
-    shared = pairs.groupBy("a", "b", *(f"{c}_{x}" for c in ("n", "last", "taken") for x in "ab")).agg(F.sum("weight").alias("c"))
-    fits = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
-    # tokens are ordered as unsigned numbers, and kept as signed ones
-    unsigned = lambda x: F.struct(x < 0, x)
-    beyond = F.when(unsigned(F.col("last_a")) <= unsigned(F.col("last_b")), F.col("n_a") - F.col("taken_a")).otherwise(F.col("n_b") - F.col("taken_b"))
-    # 100 * shared >= percent * union, and union = n_a + n_b - shared
-    enough = (100 + s.percent) * (F.col("c") + beyond) >= s.percent * (F.col("n_a") + F.col("n_b"))
-    return shared.where(fits & (F.col("last_a").isNull() | F.col("last_b").isNull() | enough)).select("a", "b")
-
-
 def verified(pairs: DataFrame, sizes: DataFrame, source: DataFrame, s: Settings, seed: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are as similar as asked, stored."""
-    likely = stored(pairs, "candidates")
+    """The distinct pairs (a, b) of nodes whose whole sets are as similar as asked, stored."""
+    likely = stored(pairs.distinct(), "candidates")
     nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     sets = stored(token_sets(holding(source, nodes, sizes, s), s, seed), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
@@ -361,7 +404,7 @@ def end_of(parts: list[np.ndarray], count: int) -> int:
     return before
 
 
-def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: Frequent, s: Settings, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Splits buckets, given as (node, n, label, hub, n_hub, hub_label): the bucket rows of
     combinations of a hub and one token in which a member differs from it, and two tables
     that these rows are made from.
@@ -374,7 +417,7 @@ def set_apart(large: DataFrame, source: DataFrame, sizes: DataFrame, frequent: n
     # where all members are minor, there is nobody to meet beyond the first part of a prefix
     majors = pairs.groupBy("hub").agg(F.bool_or(~F.col("minor")).alias("majors"))
     sets = stored(token_sets(holding(source, pairs.select("node").union(pairs.select("hub")).distinct(), sizes, s), s, seed), "sets")
-    often = source.sparkSession.sparkContext.broadcast(frequent)
+    often = source.sparkSession.sparkContext.broadcast(frequent.tokens)
     side = lambda x, y: sets.select(F.col("node").alias(x), F.col("tokens").alias(y))
 
     def run(batches):
@@ -416,26 +459,31 @@ def bounded_sets(sets: DataFrame, hubs: DataFrame, s: Settings) -> DataFrame:
     return F.broadcast(wanted) if n <= s.most_sent and tokens <= s.most_sent_bytes else wanted
 
 
-def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: Settings, seed: int) -> DataFrame:
+def linked_nodes(source: DataFrame, rows: DataFrame, sizes: DataFrame, frequent: Frequent, s: Settings, seed: int) -> DataFrame:
     """(node, label) of all nodes that have a link."""
     links, labels, spent = None, None, []
     by = Window.partitionBy("signature")
-    met = indexed(source, frequent, s, seed)
+    parts = max(s.least_parts, (sizes.agg(F.sum("n")).first()[0] or 0) // s.part_tokens + 1)
+    once_each = without_copies(source, rows, sizes, s)
+    met = of_rare(once_each, frequent, parts, s, seed)
+    if len(frequent.tokens):
+        met = met.union(of_frequent(once_each, frequent, s, seed))
     sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
-    ends = ("node", "n", "last", "taken")
+    ends = ("node", "n")
     for turn in range(1, s.rounds + 1):
-        indexing = turn <= 2
-        none = F.lit(None)
-        more = {"x": F.lit(0), "early": F.lit(True), "major": F.lit(False)} if indexing else {"last": none.cast("long"), "taken": none.cast("int"), "single": F.lit(False)}
-        several = met.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by)}).where("low <> high").drop("low", "high")
-        rows = stored(labelled(several.withColumns(more).distinct(), labels), "rows")
+        several = met.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by)}).where("low <> high").drop("low", "high").distinct()
+        if turn == 1:
+            several = stored(several, "met")
+            spent = [several]
+            several = several.join(bounded(sizes.select("node", F.col("n").cast("int").alias("n")), s.most_sent), "node")
+            several = several.withColumns({"x": F.lit(0), "early": F.lit(True), "major": F.lit(False)})
+        rows = stored(labelled(several, labels), "rows")
         for done in spent:
             removed(done)
         # signatures with the same members are one bucket that weighs as many
         print_of = [F.bit_xor(F.xxhash64(F.lit(k), "node", "x", "early", "major")).alias(f"print{k}") for k in (1, 2)]
-        each = rows.groupBy("signature").agg(F.count("*").alias("members"), F.bool_or("single").alias("alone"), F.min("label").alias("low"), F.max("label").alias("high"), *print_of).where("low <> high")
-        each = stored(each.drop("low", "high"), "signatures")
-        classes = each.groupBy("members", "alone", "print1", "print2").agg(F.min("signature").alias("signature"), F.count("*").alias("weight"))
+        each = rows.groupBy("signature").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), *print_of).where("low <> high")
+        classes = each.groupBy("members", "print1", "print2").agg(F.min("signature").alias("signature"), F.count("*").alias("weight"))
         buckets = stored(rows.join(classes.select("signature", "members", "weight"), "signature"), "buckets")
         removed(rows)
         # groups of near copies: every member against the bucket's hub, the member that shares most
@@ -443,10 +491,8 @@ def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: S
         shares = buckets.groupBy("node").agg(F.sum(F.col("members") * F.col("weight")).alias("shared"))
         tops = buckets.join(shares, "node").groupBy("signature").agg(F.max(F.struct("shared", *ends, "label")).alias("hub"))
         tops = stored(tops.select("signature", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in (*ends, "label"))), "hubs")
-        star = buckets.join(tops, "signature").where("label <> label_hub").select(
-            "weight", *(F.col(f"{x}{y}").alias(f"{p}{z}") for p, x in zip(("", "n_", "last_", "taken_"), ends, strict=True) for y, z in (("_hub", "a"), ("", "b")))
-        )
-        links = joined_links(links, verified(possible(star, s), sizes, source, s, seed))
+        star = buckets.join(tops, "signature").where("label <> label_hub").select(F.col("node_hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b"))
+        links = joined_links(links, verified(star.where(sized).select("a", "b"), sizes, source, s, seed))
         labels = connected(links)
         # what is left of a bucket: members of different components
         known = bounded(labels, s.most_sent)
@@ -455,31 +501,22 @@ def linked_nodes(source: DataFrame, sizes: DataFrame, frequent: np.ndarray, s: S
         apart = stored(now.join(left.drop("low", "high"), "signature"), "apart")
         for done in (buckets, tops):
             removed(done)
-        last, bound = turn == s.rounds, s.large_bucket if indexing else s.large_split
+        last, bound = turn == s.rounds, s.large_bucket if turn == 1 else s.large_split
         small = apart if last else apart.where(F.col("members") <= bound)
         side = lambda df, x, *also: df.select("signature", *also, *(F.col(c).alias(f"{c}_{x}") for c in (*ends, "label", "x", "early", "major")))
-        minor = side(small.where("label <> hub_label"), "a", "hub_label", "weight")
+        minor = side(small.where("label <> hub_label"), "a", "hub_label")
         # two minor members meet twice, from either side: once is enough
         once = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("hub_label")) | (F.col("node_a") < F.col("node_b")))
         # at the end of a prefix of differences, only major sets are to be met
         due = (F.col("early_a") & F.col("early_b")) | (F.col("early_a") & F.col("major_a")) | (F.col("early_b") & F.col("major_b"))
         near = (100 + s.percent) * F.abs(F.col("x_a") - F.col("x_b")) <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
         pairs = minor.join(side(small, "b"), "signature").where(sized & once & due & near)
-        ordered = [F.when(F.col("node_a") < F.col("node_b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{p}{x}") for c, p in zip(ends, ("", "n_", "last_", "taken_"), strict=True) for x, y in (("a", "b"), ("b", "a"))]
-        links = joined_links(links, verified(possible(pairs.select("weight", *ordered), s), sizes, source, s, seed))
+        links = joined_links(links, verified(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), sizes, source, s, seed))
         large = apart.where(F.col("members") > bound)
         if last or not large.limit(1).count():
             break
-        if turn == 1:
-            # a token that many hold is no prefix to index singly: it is taken to be frequent
-            top = each.where(F.col("alone") & (F.col("members") > s.large_bucket)).orderBy(F.desc("members"), "signature").limit(s.most_frequent).select("signature").toPandas()
-            frequent = np.union1d(frequent, top["signature"].to_numpy(dtype="i8").view(np.uint64))
-            met = indexed(holding(source, large.select("node").distinct(), sizes, s), frequent, s, seed)
-            spent = [apart]
-        else:
-            met, *spent = set_apart(large, source, sizes, frequent, s, seed)
-            spent.append(apart)
-        removed(each)
+        met, *spent = set_apart(large, source, sizes, frequent, s, seed)
+        spent.append(apart)
     return connected(links)
 
 
@@ -501,9 +538,10 @@ def joined(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc
         if not sizes.where("x <> y").limit(1).count():  # else two sets share a name: name them anew
             break
     held = found.where("n IS NULL").groupBy("token").agg(F.sum("times").alias("times"))
-    top = held.where(F.col("times") >= s.least_frequent).orderBy(F.desc("times"), "token").limit(s.most_frequent).select("token").toPandas()
-    frequent = np.sort(top["token"].to_numpy(dtype="i8").view(np.uint64))
-    labels = linked_nodes(source, sizes, frequent, s, seed)
+    top = held.where(F.col("times") >= s.least_frequent).orderBy(F.desc("times"), "token").limit(s.most_frequent).select("token", "times").toPandas()
+    tokens, times = top["token"].to_numpy(dtype="i8").view(np.uint64), top["times"].to_numpy(dtype="i8")
+    order = np.argsort(tokens)
+    labels = linked_nodes(source, rows, sizes, Frequent(tokens[order], times[order]), s, seed)
     named = rows.join(bounded(labels, s.most_sent), "node", "left")
     return named.select("id", "node", "n", F.coalesce("label", "node").alias("label"))
 

@@ -403,7 +403,7 @@ def near_copies(seed):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-SPLITS = ngramjoin.Settings(least_frequent=2, large_bucket=2, large_split=2, rounds=4)
+SPLITS = ngramjoin.Settings(in_batch=2, least_frequent=2, large_bucket=2, large_split=2, rounds=4)
 
 
 @pytest.mark.parametrize("percent, rounds", [(75, 4)])
@@ -437,7 +437,7 @@ def test_differences_meet(percent):
     assert met > 300
 
 
-@pytest.mark.parametrize("settings", [ngramjoin.Settings(), dataclasses.replace(SPLITS, rounds=3), ngramjoin.Settings(words=3, percent=60, least_frequent=2, large_bucket=2, least_paired=8)])
+@pytest.mark.parametrize("settings", [ngramjoin.Settings(), dataclasses.replace(SPLITS, rounds=3), ngramjoin.Settings(words=3, percent=60, in_batch=2, least_frequent=2, large_bucket=2, least_paired=8)])
 def test_components(spark, settings):
     rows = corpus_with_copies(11)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 as node", "2 as label", "3 as n", "4 as id")
@@ -452,9 +452,16 @@ def test_components_edge_rows(spark):
     assert ngramjoin.components(empty(spark)).count() == 0
 
 
+def indexed_tokens(tokens, frequent, holders, s):
+    """What a set indexes, given the number of holders of every token."""
+    rare, spare, found = ngramjoin.parted(tokens, frequent, s)
+    rare = sorted(rare.tolist(), key=lambda x: (holders[x], x))
+    return set(rare[: len(rare) - spare]) | set(found.tolist())
+
+
 def test_signatures_meet():
-    """Any two sets that are similar share a signature, whatever tokens are frequent."""
-    rng = np.random.default_rng(12)
+    """Any two sets that are similar share a signature, whatever tokens are frequent and however many hold them."""
+    rng, met = np.random.default_rng(12), 0
     for _ in range(400):
         n = int(rng.integers(1, 90))
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
@@ -463,8 +470,12 @@ def test_signatures_meet():
         b = np.unique(np.concatenate([np.delete(a, gone), rng.integers(0, 2**64, int(rng.integers(0, 4)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 75 * (len(a) + len(b) - both):
-            frequent = np.sort(rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False))
-            assert len(np.intersect1d(ngramjoin.signatures(a, frequent, s)[0], ngramjoin.signatures(b, frequent, s)[0]))
+            met += 1
+            chosen = np.sort(rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False))
+            frequent = ngramjoin.Frequent(chosen, rng.integers(5, 9, len(chosen)))
+            holders = {x: int(rng.integers(1, 5)) for x in np.union1d(a, b).tolist()}
+            assert indexed_tokens(a, frequent, holders, s) & indexed_tokens(b, frequent, holders, s)
+    assert met > 100
 
 
 @pytest.mark.parametrize("percent", [40, 50, 75])
@@ -475,7 +486,31 @@ def test_signatures_meet_at_low_percent(percent):
         s = ngramjoin.Settings(percent=percent, least_paired=int(rng.choice([2, 16])))
         b = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 60)), dtype=np.uint64))
         a = np.sort(rng.permutation(b)[: len(b) - ngramjoin.lacking(len(b), percent)])
-        assert len(np.intersect1d(ngramjoin.signatures(a, b, s)[0], ngramjoin.signatures(b, b, s)[0]))
+        frequent = ngramjoin.Frequent(b, rng.integers(2, 9, len(b)))
+        assert len(np.intersect1d(ngramjoin.parted(a, frequent, s)[2], ngramjoin.parted(b, frequent, s)[2]))
+
+
+def test_rare_tokens_that_meet(spark):
+    """What sets index of their rare tokens: the prefix by exact numbers of holders, without what one set alone holds."""
+    s = ngramjoin.Settings(least_parts=3)
+    rows = list({ngramjoin.shingles(t.encode(), 5).tobytes(): (i, t) for i, t in near_copies(22)}.values())  # copies go before
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    frequent = ngramjoin.Frequent(np.empty(0, dtype=np.uint64), np.empty(0, dtype="i8"))
+    got = {}
+    for r in ngramjoin.of_rare(df, frequent, 3, s, 0).collect():
+        got.setdefault(r.signature, []).append(r.node)
+    sets = {ngramjoin.node_of(x, 0)[0]: x for x in (ngramjoin.shingles(t.encode(), 5) for _, t in rows) if len(x)}
+    short = lambda x: (int(x) >> 32) % 3 << 32 | int(x) & 0xFFFFFFFF
+    holders = {}
+    for x in sets.values():
+        for token in map(short, x):
+            holders[token] = holders.get(token, 0) + 1
+    wanted = {}
+    for node, x in sets.items():
+        for token in sorted(map(short, x), key=lambda k: (holders[k], k))[: ngramjoin.lacking(len(x), 75) + 1]:
+            if holders[token] > 1:
+                wanted.setdefault(token, []).append(node)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
 
 
 def test_connected(spark):
