@@ -232,82 +232,78 @@ def surveyed(source: DataFrame, s: Settings, seed: int) -> DataFrame:
     return per_batch(source, run, "id long, node long, digest binary, n long, token long, times long")
 
 
-def of_frequent(source: DataFrame, frequent: Frequent, s: Settings, seed: int) -> DataFrame:
-    """(signature, node) of the sets whose prefixes reach their frequent tokens."""
-    often = source.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches):
-        seen: set[int] = set()
-        for _, sets in sets_of(batches, "text", s):
-            nodes, keys = [], [np.empty(0, dtype=np.uint64)]
-            for x in sets:
-                if len(x) and (node := node_of(x, seed)[0]) not in seen:
-                    seen.add(node)
-                    found = parted(x, often.value, s)[2]
-                    nodes.append(np.full(len(found), node, dtype="i8"))
-                    keys.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(np.concatenate([np.empty(0, dtype="i8"), *nodes]))], ["signature", "node"])
-
-    return per_batch(source.select("text"), run, "signature long, node long")
-
-
-def of_rare(source: DataFrame, frequent: Frequent, parts: int, s: Settings, seed: int) -> DataFrame:
-    """(signature, node) of the rare tokens that sets index, but for those that one set alone holds.
+def indexed(source: DataFrame, frequent: Frequent, parts: int, s: Settings, seed: int) -> DataFrame:
+    """(signature, node) of what sets index, but for the rare tokens that one set alone holds.
 
     A batch deals its tokens into ``parts`` by hash and sends each part as packed arrays: 32
     bits a token, and the node once for its tokens of that part. Within a part tokens with
     these bits in common count as one, which makes them look less rare and may add a candidate;
     a prefix that would end between two of them holds both. What many documents of a batch hold is
-    frequent and not sent, so no part depends on a single token.
+    frequent and not sent, so no part depends on a single token. Signatures made of frequent
+    tokens travel with one of the batch's parts, as they are.
     """
     often = source.sparkSession.sparkContext.broadcast(frequent)
+    as_made = 2**31 - 1  # holders of a signature that is kept in any case, after all tokens
 
     def dealt(batches):
         seen: set[int] = set()
         for _, sets in sets_of(batches, "text", s):
-            nodes, spares, rares = [], [], [np.empty(0, dtype=np.uint64)]
+            nodes, spares, rares, made = [], [], [], []
             for x in sets:
                 if len(x) and (node := node_of(x, seed)[0]) not in seen:
                     seen.add(node)
-                    rare, spare, _ = parted(x, often.value, s)
+                    rare, spare, found = parted(x, often.value, s)
                     nodes.append(node)
                     spares.append(spare)
                     rares.append(rare)
-            tokens = np.concatenate(rares)
+                    made.append(found)
+            if not nodes:
+                continue
+            tokens, each = np.concatenate(rares), np.array(nodes, dtype="<i8")
+            made, makers = np.concatenate(made).astype("<u8"), np.repeat(each, list(map(len, made)))
+            if len(made):
+                columns = [pa.array([int(made[0] % np.uint64(parts))], pa.int32()), *(pa.array([x], pa.binary()) for x in (b"", b"", b"", b"", made.tobytes(), makers.tobytes()))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "runs", "nodes", "spares", "made", "makers"])
             if not len(tokens):
                 continue
             part = ((tokens >> np.uint64(32)) % np.uint64(parts)).astype("i4")
             order = np.argsort(part, kind="stable")
             part, low = part[order], tokens[order].astype("<u4")
-            holder = np.repeat(np.arange(len(nodes)), list(map(len, rares[1:])))[order]
+            holder = np.repeat(np.arange(len(nodes)), list(map(len, rares)))[order]
             starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (holder[1:] != holder[:-1])])
             runs, whose = np.diff(np.r_[starts, len(low)]).astype("<u4"), holder[starts]
-            node, spare = np.array(nodes, dtype="<i8")[whose], np.array(spares, dtype="<u4")[whose]
+            node, spare = each[whose], np.array(spares, dtype="<u4")[whose]
             firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             at = np.searchsorted(starts, firsts)
             cut = lambda a, bounds: pa.array([a[i:j].tobytes() for i, j in zip(bounds, [*bounds[1:], len(a)], strict=True)], pa.binary())
-            columns = [pa.array(part[firsts]), cut(low, firsts), cut(runs, at), cut(node, at), cut(spare, at)]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "runs", "nodes", "spares"])
+            columns = [pa.array(part[firsts]), cut(low, firsts), cut(runs, at), cut(node, at), cut(spare, at), *(pa.array([b""] * len(firsts), pa.binary()),) * 2]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "tokens", "runs", "nodes", "spares", "made", "makers"])
 
     def counted(table: pa.Table) -> pa.Table:
         flat = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
         tokens, runs = flat("tokens", "<u4"), flat("runs", "<u4")
         order = np.argsort(tokens, kind="stable")
         ascending = tokens[order]
-        starts = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
+        starts = np.flatnonzero(np.r_[len(tokens) > 0, ascending[1:] != ascending[:-1]])
         holders = np.diff(np.r_[starts, len(tokens)])
         several = np.repeat(holders > 1, holders)
         at = order[several]
         whose = np.searchsorted(np.cumsum(runs), at, side="right")
         signature = (np.int64(table.column("part")[0].as_py()) << 32) | ascending[several].astype("i8")
-        columns = [signature, flat("nodes", "<i8")[whose], flat("spares", "<u4")[whose].astype("i4"), np.repeat(holders, holders)[several].astype("i4")]
-        return pa.table([pa.array(c) for c in columns], ["signature", "node", "spare", "holders"])
-
-    each = per_batch(source.select("text"), dealt, "part int, tokens binary, runs binary, nodes binary, spares binary")
+        made = flat("made", "<i8")
+        columns = [
+            (signature, made),
+            (flat("nodes", "<i8")[whose], flat("makers", "<i8")),
+            (flat("spares", "<u4")[whose].astype("i4"), np.zeros(len(made), dtype="i4")),
+            (np.repeat(holders, holders)[several].astype("i4"), np.full(len(made), as_made, dtype="i4")),
+        ]
+        return pa.table([pa.array(np.concatenate(c)) for c in columns], ["signature", "node", "spare", "holders"])
+
+    each = per_batch(source.select("text"), dealt, "part int, tokens binary, runs binary, nodes binary, spares binary, made binary, makers binary")
     held = each.groupBy("part").applyInArrow(counted, "signature long, node long, spare int, holders int")
     own = Window.partitionBy("node")
-    placed = held.withColumns({"all": F.count("*").over(own), "place": F.rank().over(own.orderBy("holders", "signature"))})
-    return placed.where("place <= all - spare").select("signature", "node")
+    placed = held.withColumns({"all": F.count(F.when(F.col("holders") < as_made, 1)).over(own), "place": F.rank().over(own.orderBy("holders", "signature"))})
+    return placed.where((F.col("holders") == as_made) | (F.col("place") <= F.col("all") - F.col("spare"))).select("signature", "node")
 
 
 def without_copies(source: DataFrame, rows: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
@@ -464,10 +460,7 @@ def linked_nodes(source: DataFrame, rows: DataFrame, sizes: DataFrame, frequent:
     links, labels, spent = None, None, []
     by = Window.partitionBy("signature")
     parts = max(s.least_parts, (sizes.agg(F.sum("n")).first()[0] or 0) // s.part_tokens + 1)
-    once_each = without_copies(source, rows, sizes, s)
-    met = of_rare(once_each, frequent, parts, s, seed)
-    if len(frequent.tokens):
-        met = met.union(of_frequent(once_each, frequent, s, seed))
+    met = indexed(without_copies(source, rows, sizes, s), frequent, parts, s, seed)
     sized = (100 * F.col("n_a") >= s.percent * F.col("n_b")) & (100 * F.col("n_b") >= s.percent * F.col("n_a"))
     ends = ("node", "n")
     for turn in range(1, s.rounds + 1):

@@ -497,7 +497,7 @@ def test_rare_tokens_that_meet(spark):
     df = spark.createDataFrame(rows, "id long, text string").repartition(4)
     frequent = ngramjoin.Frequent(np.empty(0, dtype=np.uint64), np.empty(0, dtype="i8"))
     got = {}
-    for r in ngramjoin.of_rare(df, frequent, 3, s, 0).collect():
+    for r in ngramjoin.indexed(df, frequent, 3, s, 0).collect():
         got.setdefault(r.signature, []).append(r.node)
     sets = {ngramjoin.node_of(x, 0)[0]: x for x in (ngramjoin.shingles(t.encode(), 5) for _, t in rows) if len(x)}
     short = lambda x: (int(x) >> 32) % 3 << 32 | int(x) & 0xFFFFFFFF
