@@ -24,6 +24,9 @@ from quire.llm.common import bounded, stored
 
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Last bits of a sorted number that hold a window's place in its text.
+PLACE_BITS = 24
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -67,24 +70,41 @@ def repeated_words(words: Column) -> Column:
 
     Windows are compared by 64-bit hash. Repeated windows are found by sorting (hash, place);
     with their places in order, each adds the words up to the next one, 3 at most. Arrays are
-    shifted and zipped whole, which costs less than a lambda that looks up neighbours.
+    shifted and zipped whole, which costs less than a lambda that looks up neighbours. Hash and
+    place are sorted as one number, whose last ``PLACE_BITS`` bits are the place; where cut
+    hashes meet whose whole ones differ, or places need more bits, they are sorted as pairs.
     """
+    mask = (1 << PLACE_BITS) - 1
     rest = lambda a, by: F.slice(a, F.lit(1 + by), F.size(a))  # noqa: E731  by 0: the array, without a name of its own
 
     def counted(zipped: Column) -> Column:
         # the last two windows reach beyond the text
         hashes = F.transform(F.slice(zipped, F.lit(1), F.size(zipped) - 2), lambda x: F.xxhash64(x))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) > mask, covered_by_pairs(h)).otherwise(covered(h)))
 
     def covered(hashes: Column) -> Column:
+        ordered = F.sort_array(F.transform(hashes, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
+        near = lambda a: F.filter(  # noqa: E731  no bit before the place differs
+            F.arrays_zip(rest(a, 0), rest(a, 1), F.concat(F.slice(a, 1, 1), a)),
+            lambda x, i: F.coalesce(x["0"].bitwiseXOR(x["1"]).between(0, mask), F.lit(False)) | ((i > 0) & F.coalesce(x["0"].bitwiseXOR(x["2"]).between(0, mask), F.lit(False))),
+        )
+        places = lambda found: F.transform(found, lambda x: x["0"].bitwiseAND(F.lit(mask)).cast("int"))
+        whole = lambda p: F.transform(p, lambda i: F.get(hashes, i))
+        # as many whole hashes as cut ones, or some cut ones met by chance
+        sound = lambda found, p: F.size(F.array_distinct(F.transform(found, lambda x: x["0"].bitwiseAND(F.lit(~mask))))) == F.size(F.array_distinct(whole(p)))
+        return let(let(ordered, near), lambda found: let(places(found), lambda p: F.when(sound(found, p), spread(p)).otherwise(covered_by_pairs(hashes))))
+
+    def covered_by_pairs(hashes: Column) -> Column:
         ordered = F.sort_array(F.arrays_zip(rest(hashes, 0), F.sequence(F.lit(1), F.size(hashes))))
         same = lambda a: F.filter(
             F.arrays_zip(rest(a, 0), rest(a, 1), F.concat(F.slice(a, 1, 1), a)),
             lambda x, i: F.coalesce(x["0"]["0"] == x["1"]["0"], F.lit(False)) | ((i > 0) & F.coalesce(x["0"]["0"] == x["2"]["0"], F.lit(False))),
         )
-        places = F.sort_array(F.transform(let(ordered, same), lambda x: x["0"]["1"]))
+        return spread(F.transform(let(ordered, same), lambda x: x["0"]["1"]))
+
+    def spread(places: Column) -> Column:
         gaps = lambda p: F.transform(F.arrays_zip(rest(p, 0), rest(p, 1)), lambda x: F.least(F.lit(3), F.coalesce(x["1"] - x["0"], F.lit(3))))
-        return F.aggregate(let(places, gaps), F.lit(0), lambda a, x: a + x)
+        return F.aggregate(let(F.sort_array(places), gaps), F.lit(0), lambda a, x: a + x)
 
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.arrays_zip(rest(words, 0), rest(words, 1), rest(words, 2)), counted))
 
@@ -99,7 +119,8 @@ def without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-#: Characters by class, as what they are not: digits, punctuation of prose, other ASCII signs.
+#: Characters of no class that is named here, then the classes: digits, punctuation of prose, other ASCII signs.
+MARKS = r"[^0-9.,;:!?'\"()#$%&*+/<=>@\\^_`{|}~\[\]-]+"
 CLASSES = {"digits": "[0-9]+", "prose": r"[.,;:!?'\"()-]+", "signs": r"[#$%&*+/<=>@\\^_`{|}~\[\]]+"}
 
 
@@ -127,15 +148,24 @@ def distance(counts: Column, reference: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, keep: list[str]) -> DataFrame:
-    """Each document's text, language and counts of characters."""
+    """Each document's text, language, words and counts of characters.
+
+    What is neither a letter nor white space is cut out once and counted by class in what is cut out.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
     kept = [F.col(c).alias(f"kept {c}") for c in keep]
     base = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"), *kept)
-    length = F.length("text").cast("long")
-    counts = {"n_chars": length, "word_chars": without(F.col("text"), GAP).cast("long")}
-    counts |= {k: length - without(F.col("text"), p) for k, p in CLASSES.items()}
-    return base.withColumns(counts)
+    base = base.withColumns({"words": words_of(F.col("text")), "marks": F.regexp_replace("text", MARKS, "")})
+    among = lambda pattern: (F.length("marks") - without(F.col("marks"), pattern)).cast("long")
+    counts = {"n_chars": F.length("text").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long")}
+    counts |= {"n_words": F.size("words").cast("long"), "n_symbols": among(r"[#*$%&|<>]+")}
+    return base.withColumns(counts | {k: among(p) for k, p in CLASSES.items()}).drop("marks")
+
+
+def short_words(limits: Limits) -> Column:
+    """The words of few letters, lower-cased; some that grow by that are among them."""
+    return F.transform(F.filter("words", lambda w: F.length(w) <= limits.common_letters), F.lower)
 
 
 def references(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
@@ -146,13 +176,17 @@ def references(docs: DataFrame, limits: Limits, id_col: str, text_col: str, lang
     Words and characters are summed before they move, so a language or a word with a third of
     all occurrences moves as little as any other.
     """
-    all_docs = measured(docs, id_col, text_col, lang_col, [])
-    totals = all_docs.select("lang", F.size(words_of(F.col("text"))).alias("n"), F.when(F.col("n_chars") > 0, F.col("n_chars")).alias("n_chars"), class_counts().alias("c")).groupBy("lang").agg(
-        F.sum("n").alias("total"), F.array(*(F.coalesce(F.percentile(F.round(F.col("c")[i] / F.col("n_chars"), 3), 0.5), F.lit(0.0)) for i in range(5))).alias("classes")
+    all_docs = measured(docs, id_col, text_col, lang_col, []).withColumn("classes", class_counts())
+    shares = F.when(F.col("n_chars") > 0, F.array(*(F.concat(F.lit(f"{i} "), F.round(F.col("classes")[i] / F.col("n_chars"), 3).cast("string")) for i in range(5))))
+    # one histogram of all: short words, "class share" of documents and "" for each document; no word has a blank
+    entries = F.concat(short_words(limits), F.coalesce(shares, F.array().cast("array<string>")), F.array(F.lit("")))
+    histogram = stored(all_docs.select("lang", "n_words", F.explode(entries).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"), F.sum("n_words").alias("total")), "histogram")
+    number, share = F.split("word", " ")[0], F.split("word", " ")[1].cast("double")
+    median = lambda i: F.coalesce(F.percentile(F.when(number == str(i), share), 0.5, F.when(number == str(i), F.col("n"))), F.lit(0.0))
+    totals = histogram.where("word = '' OR contains(word, ' ')").groupBy("lang").agg(
+        F.max(F.when(F.col("word") == "", F.col("total"))).alias("total"), F.array(*(median(i) for i in range(5))).alias("classes")
     )
-    letters = rf"^\p{{L}}{{1,{limits.common_letters}}}$"
-    short = F.filter(F.split(F.lower("text"), GAP), lambda w: (F.length(w) <= limits.common_letters) & w.rlike(letters))
-    times = all_docs.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    times = histogram.where(F.col("word").rlike(rf"^\p{{L}}{{1,{limits.common_letters}}}$")).select("lang", "word", "n")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     common = times.withColumn("r", first).where(F.col("r") <= limits.common_words).groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("r", "word", F.col("n").cast("double").alias("n")))).alias("top")
@@ -187,13 +221,12 @@ def quality(
     """
     limits = limits or Limits()
     refs = pooled(stored(references(docs, limits, id_col, text_col, lang_col), "references"), limits)
-    every = measured(docs, id_col, text_col, lang_col, list(keep)).withColumn("words", words_of(F.col("text")))
-    every = every.withColumn("n_words", F.size("words").cast("long")).join(bounded(refs, limits.most_languages), "lang", "left")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), GAP, "  "), F.lit(" "))
+    every = measured(docs, id_col, text_col, lang_col, list(keep)).join(bounded(refs, limits.most_languages), "lang", "left")
+    # the common words of a text, each with a blank of its own on either side, so neighbours never share one
+    spaced = F.concat(F.lit(" "), F.array_join(F.filter(short_words(limits), lambda w: F.array_contains("common", w)), "  "), F.lit(" "))
     rest = lambda counts, total: let(counts, lambda c: F.concat(c, F.array(total - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
 
     def word_counts(padded: Column) -> Column:
-        # every word has a blank of its own on either side, so neighbours never share one
         size = F.octet_length(padded)
         found = lambda w: (size - F.octet_length(F.replace(padded, F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)
         return F.transform("common", lambda w: found(w).cast("double"))
@@ -201,7 +234,6 @@ def quality(
     comparable = F.col("n_words") >= limits.least_words
     counted = every.withColumns(
         {
-            "n_symbols": (F.col("n_chars") - without(F.col("text"), r"[#*$%&|<>]+")).cast("long"),
             "n_dup_lines": duplicate_lines(F.col("text")).cast("long"),
             "n_repeat_words": repeated_words(F.col("words")).cast("long"),
             "own_words": F.when(comparable, let(spaced, word_counts)),

@@ -238,7 +238,10 @@ def test_quality_of_sparse_junk(spark):
     assert all(r.kept == r.good for r in quality.quality(df, keep=("good",)).collect())
 
 
-def test_repeated_windows_fuzz(spark):
+@pytest.mark.parametrize("bits", [24, 60, 3])
+def test_repeated_windows_fuzz(spark, monkeypatch, bits):
+    """With 60 bits for the place cut hashes meet by chance, with 3 longer texts have too many places."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
     rng = random.Random(7)
     texts = [" ".join(rng.choice("ab cd e f".split()) for _ in range(rng.randint(0, 30))) for _ in range(200)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality.let(quality.words_of(F.col("text")), quality.repeated_words).alias("n"))
