@@ -602,3 +602,33 @@ def test_registered_queries_and_sql(spark):
     names = [x[0] for x in cur.description]
     want = sorted(map(list, cur.fetchall()), key=key)
     assert sorted(([r[n] for n in names] for r in QUERIES["op4_hashed_url_rules"](spark, d).collect()), key=key) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<article><p class="notice">x<p>para<ul><li class="share">s<li>item</ul><div>z</div></article>tail', ["para", "item", "z"]),
+        ('<article><table><tr><td class="ad">x<td>y<tr><td>z</table></article>', ["y", "z"]),
+        ('<article><div><p>k</p><div class="promo">p<p>q</div>r</article>', ["k", "r"]),
+        ('<article>a<span class="ad">x<span>y</span>z</span>b</article>', ["ab"]),
+        ('<div class="content-sidebar-wrap"><article><p>a</p></article><aside>q</aside></div>', ["a"]),
+        ('<form id="whole"><nav>m</nav><main><p>a</p></main></form>', ["a"]),
+        ('<article class="notice"><p>only</p></article>', ["only"]),
+        ('<article>a<article class="comment">c</article></article>', ["a"]),
+        ('<article>a</article><section class="related"><article>r</article></section>', ["a"]),
+        ('<div>text</div><section class="comments"><article>c</article></section>', ["text"]),
+        ('</div></p><li></ul><td>a</table>', ["a"]),
+    ],
+)
+def test_ends_of_left_out_elements(page, texts):
+    """Where an element that is left out ends without an end tag, and which ones wrap the page."""
+    assert htmltext.structured(page)[1] == texts
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    at = time.process_time()
+    assert htmltext.structured("<div class=ad>" * 20_000 + "<article>x</article>")[1] == ["x"]
+    htmltext.structured("<div>" * 20_000 + "<li class=ad>x</li>" * 20_000)
+    assert time.process_time() - at < 5
