@@ -201,9 +201,10 @@ def pooled(refs: DataFrame, limits: Limits) -> DataFrame:
     The mixture is by words too, without a step: a language of few words is judged by what all
     languages look like, a large one by what it looks like itself.
     """
-    all_langs = refs.agg(F.array(*(F.sum(F.col("total") * F.col("classes")[i]) / F.greatest(F.sum("total"), F.lit(1)) for i in range(5))).alias("all_classes"))
-    mixed = F.zip_with("classes", "all_classes", lambda x, y: F.col("total") * x + F.lit(limits.least_reference_words) * y)
-    return refs.crossJoin(F.broadcast(all_langs)).withColumn("classes", mixed).drop("all_classes")
+    every = refs.agg(*(F.sum(F.col("total") * F.col("classes")[i]) / F.greatest(F.sum("total"), F.lit(1)) for i in range(5))).first()
+    all_classes = F.array(*(F.lit(x or 0.0) for x in every))
+    mixed = F.zip_with("classes", all_classes, lambda x, y: F.col("total") * x + F.lit(limits.least_reference_words) * y)
+    return refs.withColumn("classes", mixed)
 
 
 def quality(
