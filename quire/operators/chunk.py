@@ -137,6 +137,11 @@ def _grouped(marked: DataFrame, config: ChunkConfig, limit: bool) -> DataFrame:
     return ranges.select("doc_id", "grp", "part", F.slice("rows", C("r.a") + 1, C("r.b") - C("r.a") + 1).alias("rows"))
 
 
+def with_document(chunks: DataFrame, front: DataFrame) -> DataFrame:
+    """The chunks with ``source`` and ``lang`` of their document's frontmatter, null without one."""
+    return chunks.join(front.select("doc_id", "source", "lang"), "doc_id", "left")
+
+
 def semantic(els: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """A group begins at each heading, and a large table or code block is a group of its own."""
     c = config or ChunkConfig()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as X
+
 C = F.col
 CHANGE = ["doc_id", "change_type", "element_type", "description", "old_value", "new_value", "element_id", "layer"]
 
@@ -39,7 +41,16 @@ def _label(e: Column) -> Column:
 
 
 def _summary(e: Column) -> Column:
-    return F.left(F.coalesce(e["text"], e["code"], e["caption"], e["table_id"], F.lit("")), F.lit(60))
+    """What a reader of a change sees of an element: a heading with its marks, the beginning of a
+    paragraph, a table's name and size, of others the type."""
+    text, etype = F.coalesce(e["text"], F.lit("")), e["etype"]
+    table = F.concat(F.lit("Table("), F.coalesce(F.when(e["table_id"] != "", e["table_id"]), F.lit("unnamed")), F.lit(", "), F.coalesce(F.size(e["rows"]), F.lit(0)), F.lit("×"), F.coalesce(X.num_cols(e["rows"]), F.lit(0)), F.lit(")"))
+    return (
+        F.when(etype == "heading", F.concat(F.repeat(F.lit("#"), e["level"]), F.lit(" "), text))
+        .when(etype == "paragraph", F.concat(F.left(text, F.lit(80)), F.when(F.length(text) > 80, F.lit("...")).otherwise(F.lit(""))))
+        .when(etype == "table", table)
+        .otherwise(etype)
+    )
 
 
 def _change(kind: str, etype: Column, what: Column, old: Column | None = None, new: Column | None = None, eid: Column | None = None, layer: int = 0) -> Column:
@@ -59,7 +70,8 @@ def diff_elements(old: DataFrame, new: DataFrame) -> DataFrame:
         (n.isNull(), _change("removed", o["etype"], F.concat(F.lit("removed: "), _summary(o)), _summary(o), None, _label(o))),
         (o.isNull(), _change("added", n["etype"], F.concat(F.lit("added: "), _summary(n)), None, _summary(n), _label(n))),
         (o.isNotNull() & n.isNotNull() & (o["etype"] != n["etype"]), _change("modified", n["etype"], F.lit("type changed"), o["etype"], n["etype"], _label(n))),
-        ((is_("heading") | is_("paragraph")) & differs("text"), _change("modified", n["etype"], F.lit("text changed"), cut(o), cut(n), _label(n))),
+        (is_("heading") & differs("text"), _change("modified", n["etype"], F.lit("text changed"), o["text"], n["text"], _label(n))),
+        (is_("paragraph") & differs("text"), _change("modified", n["etype"], F.lit("text changed"), cut(o), cut(n), _label(n))),
         (is_("heading") & differs("level"), _change("modified", n["etype"], F.lit("level changed"), o["level"], n["level"], _label(n))),
         (is_("codeblock") & differs("code"), _change("modified", n["etype"], F.lit("code changed"), F.left(o["code"], F.lit(100)), F.left(n["code"], F.lit(100)), _label(n))),
         (is_("codeblock") & differs("language"), _change("modified", n["etype"], F.lit("language changed"), o["language"], n["language"], _label(n))),
@@ -127,3 +139,16 @@ def diff(old, new, ignore_spatial: bool = False, ignore_metadata: bool = False)
     if not ignore_metadata:
         out = out.unionByName(diff_confidence(old.metadata, new.metadata)).unionByName(diff_history(old.version_history, new.version_history))
     return out.select(*CHANGE)
+
+
+def of_kind(changes: DataFrame, kind: str) -> DataFrame:
+    """The changes of one kind: added, removed or modified."""
+    return changes.where(C("change_type") == kind)
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """(doc_id, added, removed, modified, summary): counts, and what is not zero of them in words.
+    Documents without changes have no row."""
+    kinds = ("added", "removed", "modified")
+    counts = changes.groupBy("doc_id").agg(*(F.count_if(C("change_type") == k).alias(k) for k in kinds))
+    return counts.withColumn("summary", F.concat_ws(", ", *(F.when(C(k) > 0, F.concat(C(k).cast("string"), F.lit(f" {k}"))) for k in kinds)))

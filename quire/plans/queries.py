@@ -277,18 +277,46 @@ def to_markdown_doc(spark, sf_dir):
     return export.to_markdown(A.lines_corpus(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k, count(l_orderkey) AS n, any_value(o_custkey) AS c, any_value(o_orderstatus) AS st, any_value(o_orderpriority) AS p FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+def _order_sql(line: str, sep: str) -> str:
+    """Each order's key k, columns, number of lines n and its lines as one string."""
+    return f"""WITH s AS (SELECT o_orderkey AS k, count(l_orderkey) AS n, any_value(o_custkey) AS c, any_value(o_orderstatus) AS st, any_value(o_orderpriority) AS p,
+coalesce(string_agg(CASE WHEN l_orderkey IS NOT NULL THEN {line} END, {sep} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), '') AS lines,
+CASE WHEN o_orderkey % 7 = 0 THEN 'missing-' ELSE 't-' END || o_orderkey AS ref FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"""
+
+
+_HTML_CELLS = " || ".join(f"'      <td>' || {v} || '</td>' || chr(10)" for v in ("l_linenumber", "l_partkey", "CAST(l_quantity AS BIGINT)"))
+_HTML_LINE = f"'    <tr>' || chr(10) || {_HTML_CELLS} || '    </tr>' || chr(10)"
+_HTML_HEAD = "    <tr>\n      <th>line</th>\n      <th>part</th>\n      <th>quantity</th>\n    </tr>\n"
+
+
+@query(_order_sql(_HTML_LINE, "''") + f"""
 SELECT k AS doc_id, '<h1>Order ' || k || '</h1>' || chr(10) || '<div class="kv"><span class="kv-key">customer</span>: <span class="kv-value">' || c || '</span></div>' || chr(10)
 || '<div class="kv"><span class="kv-key">status</span>: <span class="kv-value">' || st || '</span></div>' || chr(10) || '<div class="kv"><span class="kv-key">priority</span>: <span class="kv-value">' || p || '</span></div>' || chr(10)
-|| '<p>This order has ' || n || ' lines.</p>' || chr(10) || '<a class="ref" href="#' || CASE WHEN k % 7 = 0 THEN 'missing-' ELSE 't-' END || k || '">table:' || CASE WHEN k % 7 = 0 THEN 'missing-' ELSE 't-' END || k || '</a>' AS html FROM s""")
+|| '<table id="t-' || k || '">
+  <thead>
+{_HTML_HEAD}  </thead>
+  <tbody>
+' || lines || '  </tbody>
+</table>
+' || '<p>This order has ' || n || ' lines.</p>' || chr(10) || '<a class="ref" href="#' || ref || '">table:' || ref || '</a>' AS html FROM s""")
 def to_html_doc(spark, sf_dir):
-    return export.to_html(A.orders_corpus(spark, sf_dir).where("etype <> 'table'"), standalone=False)
+    return export.to_html(A.orders_corpus(spark, sf_dir), standalone=False)
+
+
+def _json_row(header: bool, *texts: str) -> str:
+    """SQL for a table's row as JSON, from SQL for its texts."""
+    h = str(header).lower()
+    cells = " || ',' || ".join(f"""'{{"text":"' || {t} || '","bbox":null,"is_header":{h},"colspan":1,"rowspan":1}}'""" for t in texts)
+    return f"""'{{"is_header":{h},"bbox":null,"cells":[' || {cells} || ']}}'"""
 
 
-@query("""SELECT o_orderkey AS doc_id, '{"elements":[{"type":"heading","level":1,"text":"Order ' || o_orderkey || '"},{"type":"keyvaluepair","key":"customer","value":"' || o_custkey
-|| '"},{"type":"keyvaluepair","key":"status","value":"' || o_orderstatus || '"},{"type":"keyvaluepair","key":"priority","value":"' || o_orderpriority || '"}]}' AS json FROM orders""")
+@query(_order_sql("',' || " + _json_row(False, "l_linenumber", "l_partkey", "CAST(l_quantity AS BIGINT)"), "''") + f"""
+SELECT k AS doc_id, '{{"elements":[{{"type":"heading","level":1,"text":"Order ' || k || '"}},{{"type":"keyvaluepair","key":"customer","value":"' || c
+|| '"}},{{"type":"keyvaluepair","key":"status","value":"' || st || '"}},{{"type":"keyvaluepair","key":"priority","value":"' || p
+|| '"}},{{"type":"table","id":"t-' || k || '","table_id":"t-' || k || '","caption":null,"nested":false,"rows":[' || {_json_row(True, "'line'", "'part'", "'quantity'")} || lines
+|| ']}},{{"type":"paragraph","text":"This order has ' || n || ' lines."}},{{"type":"crossref","ref_type":"table","ref_id":"' || ref || '"}}]}}' AS json FROM s""")
 def to_json_doc(spark, sf_dir):
-    return export.to_json(A.orders_corpus(spark, sf_dir).where("etype IN ('heading', 'keyvaluepair')"))
+    return export.to_json(A.orders_corpus(spark, sf_dir))
 
 
 @query("""SELECT p_partkey AS doc_id, 1 AS page, CAST(p_size * 20 AS INT) AS x1, CAST(p_size * 10 AS INT) AS y1, CAST(p_size * 25 AS INT) AS x2, CAST(p_size * 21 AS INT) AS y2, p_name AS line_text FROM part""")

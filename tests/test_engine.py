@@ -305,14 +305,18 @@ def test_json_with_layers(spark):
 def test_queries_match_their_sql(spark):
     import duckdb
 
+    from quire.plans import every_type
     from quire.plans.queries import ORACLE_SQL, QUERIES
 
+    of_every_type = [n for n, f in QUERIES.items() if f.__module__ == every_type.__name__]
+    assert len(of_every_type) == 13
     con, d = duckdb.connect(), "/root/testdata/sf0.001"
     for t in "orders lineitem documents labels events part supplier conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("parse_order_tables", "merge_tables", "unresolved_refs", "html_table_import", "semantic_chunks", "diff_elements", "heading_path"):
+    for name in ("parse_order_tables", "merge_tables", "unresolved_refs", "html_table_import", "semantic_chunks", "diff_elements", "heading_path", "to_html_doc", "to_json_doc", *of_every_type):
         df = QUERIES[name](spark, d)
         cur = con.execute(ORACLE_SQL[name])
         names = [c[0] for c in cur.description]
         want = sorted([tuple(r) for r in cur.fetchall()], key=repr)
+        assert want, name
         assert sorted([tuple(r[n] for n in names) for r in df.collect()], key=repr) == want, name
