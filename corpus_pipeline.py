@@ -23,7 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     whatever their names.
     """
     whole = docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return quality.quality(whole, keep=("row",)).where("kept").select("row.*")
+    judged = quality.quality(whole, keep=("row",)).select("row", F.explode(F.array("kept")).alias("stays"))
+    # the verdict is a generated column, so the filter stays above it: pushed down, it would compute each count for each use
+    return judged.where("stays").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
