@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import ngramjoin, packing, pii, quality
-from quire.llm.common import stored, table
+from quire.llm.common import small_batches, stored, table
 from quire.llm.queries import vocabulary
 
 
@@ -35,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeat an id stay or go together; texts of any length are compared whole; an empty table
     stays empty; extra columns are carried as they are.
     """
+    small_batches(spark)
     return ngramjoin.one_of_each(docs, ngramjoin.Settings(words=5, percent=75))
 
 
@@ -45,6 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     texts of any length are read whole; an empty table stays empty; ``n_chars``, where there
     is one, is counted anew, and extra columns are carried as they are.
     """
+    small_batches(spark)
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else pii.redacted(docs)
 
 
@@ -54,6 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece that holds only the end token; long texts are cut; equal
     rows take different places; an empty table gives no pieces; extra columns are not read.
     """
+    small_batches(spark)
     return packing.packed(docs, vocabulary(), end=2, capacity=4096)
 
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import per_batch, slices
+from quire.llm.common import KEPT, per_batch, slices
 
 #: Words that one worker remembers; the table is emptied when full.
 MOST_WORDS = 1 << 19
@@ -286,6 +286,9 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+KEPT.append(loaded.cache_clear)
+
+
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the token ids of every whole text; a null or empty text has none."""
 

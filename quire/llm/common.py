@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -67,7 +68,43 @@ def per_batch(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
     paths = env.get("PYTHONPATH", "")
     if _ROOT not in paths.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (_ROOT, paths) if p)
-    return df.mapInArrow(fn, schema)
+
+    operator = fn.__module__
+
+    def run(batches):
+        turned_to(operator)
+        yield from fn(batches)
+        given_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: How a worker empties the tables it keeps from task to task, and the operator it worked for last.
+KEPT: list[Callable[[], None]] = []
+_last = ""
+
+
+def turned_to(operator: str) -> None:
+    """Empties the tables of the operator before, so that one's don't come on top of the other's."""
+    global _last
+    if operator != _last:
+        _last = operator
+        for forget in KEPT:
+            forget()
+
+
+def given_back() -> None:
+    """Returns memory that nothing uses any more to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Lets Arrow batches hold so many bytes at most (or one row), in this session. By rows alone
+    a batch of long texts has tens of MB, held several times between the JVM and a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded, per_batch, removed, slices, stored
+from quire.llm.common import KEPT, bounded, per_batch, removed, slices, stored
 from quire.llm.components import connected
 
 
@@ -98,6 +98,9 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+KEPT.append(word_hashes.cache_clear)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values evenly; one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY, i
 
     def run(batches):
         coder = loaded(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):  # the words of all its texts are held at once
             rows = []
             for i, ids in zip(b.column("id").to_pylist(), coder.encode_batch(b.column("text").to_pylist()), strict=True):
                 ids += last

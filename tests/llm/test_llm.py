@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -632,3 +633,27 @@ def test_deep_pages_take_time_in_proportion():
     assert htmltext.structured("<div class=ad>" * 20_000 + "<article>x</article>")[1] == ["x"]
     htmltext.structured("<div>" * 20_000 + "<li class=ad>x</li>" * 20_000)
     assert time.process_time() - at < 5
+
+
+def test_worker_memory(spark):
+    """In the pipeline's stages a batch of long texts is cut by bytes, and a worker that turns to
+    another operator empties the tables of the one before."""
+    import corpus_pipeline as cp
+    from quire.llm import common
+
+    docs = spark.range(64, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab ', 100000) AS text", "'en' AS lang")
+    assert cp.pack(spark, docs.limit(1), "").count() == 25
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    got = common.per_batch(docs.select("text"), sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 64 and max(r.bytes for r in got) < 8 << 20
+
+    common.turned_to("one")
+    ngramjoin.word_hashes()[b"word"]
+    common.turned_to("one")
+    assert len(ngramjoin.word_hashes()) == 1
+    common.turned_to("other")
+    assert not ngramjoin.word_hashes()
