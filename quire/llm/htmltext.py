@@ -1,34 +1,49 @@
 """Main text of web pages: structure first, then a suffix array over each host's pages.
 
 A page is read once into blocks of text. What the markup itself names as a menu, header,
-footer, sidebar, notice, advert, form or comment is left out. If the page marks its article,
-that is its main text. Otherwise nothing in the markup tells text from boilerplate, and the
-host's other pages have to: the token streams of such pages are laid end to end, host by
-host, and their suffixes sorted. Neighbours in that order that share a long beginning show a
-substring that several pages repeat; tokens covered by one are boilerplate, and the runs that
-are unique to the page stay.
-
-The array is kept in distributed form. Only beginnings of ``RUN`` tokens matter (a longer
-repeat is a chain of them), so suffixes are represented by the digest of their first ``RUN``
-tokens and grouped by it, with the least and greatest page of each group: they differ exactly
-when the substring occurs on distinct pages. Groups are aggregated before they move, so
-neither a host with a third of all pages nor a line that all of them repeat is gathered anywhere.
+footer, sidebar, notice, advert, form or comment is left out, and if the page marks its
+article, the rest is too. The tokens of what is left are the page's stream. The streams of
+*all* pages are laid end to end, host by host, and their suffixes sorted. Neighbours in that
+order that share ``RUN`` tokens or more and stand on distinct pages show a repeated substring
+(longer ones are chains of such neighbours). A repeat is boilerplate unless some page of the
+host marks it as part of its article: copies of an article, and passages that articles share,
+are content wherever they stand. Tokens that boilerplate covers are left out.
+
+The array is distributed by the beginnings of suffixes, so no host is one task. Sorting every
+suffix would move all texts several times; only those that can have a neighbour with ``RUN``
+common tokens are sorted, by their tokens:
+
+1. Each window of ``RUN`` tokens is named by the least of the digests of the shorter windows in
+   it, cut to some bits. Equal windows have equal names, wherever they stand, and neighbours
+   mostly share one, so these are few. Chunks of pages send the sorted names they hold, as gaps.
+2. A name that only one page holds belongs to no repeat. Chunks learn which of theirs are others.
+3. Suffixes at windows of such names are sorted by their tokens, in each chunk and then, dealt by
+   host and first tokens, over all chunks. Common beginnings of neighbours decide. Names that
+   met by chance, or on copies of one page, fall away here.
+4. Chunks receive which windows are repeats and cut their texts.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import per_batch, slices, stored
+from quire.llm.common import per_batch, shared_dir, slices, small_batches
 
 #: Tokens that a repeated substring must have to be boilerplate.
 RUN = 8
+#: Parts of the table of parsed chunks; what is found out about a chunk moves to it.
+PARTS = 64
+#: Names or suffixes that one task sorts, about.
+SORTED_AT_ONCE = 4 << 20
 
 # Element names of the HTML standard, by what they mean here.
 NEVER_TEXT = frozenset("head nav header footer aside form button select textarea dialog menu template iframe object audio video canvas svg math noscript datalist".split())
@@ -227,34 +242,251 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", (url or "").partition("://")[2], maxsplit=1)[0].lower()
 
 
-def boilerplate_free(loose: DataFrame, run: int = RUN) -> DataFrame:
-    """(row, text) of pages given as (row, host, blocks): their blocks without the tokens that
-    repeated substrings cover. Pages of one host with equal streams count as one page, so
-    copies of a page do not erase it."""
-    tokens = F.flatten(F.transform("blocks", lambda b, i: F.transform(F.split(b, " "), lambda t: F.struct(i.alias("block"), t.alias("token")))))
-    streams = loose.withColumn("tokens", tokens).withColumn("stream", F.xxhash64("blocks"))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (run - 1)))
-    starts = F.when(F.size("tokens") >= run, F.transform(places, lambda p: F.struct(p.alias("at"), F.xxhash64(F.transform(F.slice("tokens", p, run), lambda t: t["token"])).alias("head"))))
-    suffixes = streams.select("row", "host", "stream", F.explode(starts).alias("s")).select("row", "host", "stream", "s.at", "s.head")
-    repeats = suffixes.groupBy("host", "head").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "head")
-    covered = suffixes.join(repeats, ["host", "head"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("at"))
+class Hashes(dict):
+    """64 bits for each token; the first ones seen are kept."""
 
-    def cut(batches):
-        for b in batches:
-            texts = []
-            for kept, at in zip(b.column("blocks").to_pylist(), b.column("at").to_pylist(), strict=True):
-                gone = {p for a in at or () for p in range(a - 1, a - 1 + run)}
-                place, out = 0, []
-                for block in kept:
-                    words = block.split(" ")
-                    unique = [w for i, w in enumerate(words, place) if i not in gone]
-                    place += len(words)
-                    if unique:
-                        out.append(" ".join(unique))
-                texts.append("\n\n".join(out))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    return per_batch(streams.select("row", "blocks").join(covered, "row", "left"), cut, "row string, text string")
+    def __missing__(self, token: str) -> int:
+        found = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(self) < 1 << 18:
+            self[token] = found
+        return found
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def digests(columns: list[np.ndarray], first: np.ndarray | np.uint64) -> np.ndarray:
+    """A digest of ``first`` and each row of the columns."""
+    found = np.zeros(len(columns[0]), np.uint64) + first
+    for column in columns:
+        found = (found ^ (found >> np.uint64(32))) * _ODD + column
+    found = (found ^ (found >> np.uint64(32))) * _ODD
+    return found ^ (found >> np.uint64(29))
+
+
+def of_windows(stream: np.ndarray, n: int, host: np.uint64) -> np.ndarray:
+    """The digest of every ``n`` tokens in a row, and the host."""
+    windows = max(0, len(stream) - n + 1)
+    return digests([stream[j : j + windows] for j in range(n)], host)
+
+
+def names(stream: np.ndarray, run: int, host: np.uint64, bits: int) -> np.ndarray:
+    """The name of each window of ``run`` tokens: the least digest of the windows in it that are
+    up to two tokens shorter, mixed anew, as least ones are small."""
+    apart = min(3, run)
+    short = of_windows(stream, run - apart + 1, host)
+    windows = max(0, len(stream) - run + 1)
+    least = short[:windows]
+    for j in range(1, apart):
+        least = np.minimum(least, short[j : j + windows])
+    return (least * _ODD) >> np.uint64(64 - bits)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as compressed gaps."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return pa.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def holds(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among ``wanted``, which is sorted."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def merged(ns: list[int] | None, lists: list[bytes] | None) -> np.ndarray:
+    """The numbers of several packed lists, sorted."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpacked(x, n) for n, x in zip(ns or (), lists or (), strict=True))]))
+
+
+def as_chunk(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def of_chunk(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def streams(chunk: pa.Table, hashes: Hashes) -> Iterator[tuple[np.ndarray, np.uint64, bool]]:
+    """(tokens' hashes, host's hash, whether the markup settles the text) of each page."""
+    for url, settled, found in zip(chunk["url"].to_pylist(), chunk["settled"].to_pylist(), chunk["blocks"].to_pylist(), strict=True):
+        tokens = " ".join(found).split(" ") if found else []
+        yield np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), np.uint64(hashes[host_of(url)]), settled
+
+
+def name_of(stream: np.ndarray) -> int:
+    """Pages of one host with equal streams count as one page, so copies of a page do not erase it."""
+    return int.from_bytes(blake2b(stream.tobytes(), digest_size=8).digest(), "little")
+
+
+def sent_names(chunk: pa.Table, run: int, bits: int) -> np.ndarray:
+    """The names on a chunk's pages, sorted; those on two distinct pages or more stand twice."""
+    seen, found = set(), [np.zeros(0, np.uint64)]
+    for stream, host, _ in streams(chunk, Hashes()):
+        page = (name_of(stream), host)
+        if len(stream) >= run and page not in seen:
+            seen.add(page)
+            found.append(np.unique(names(stream, run, host, bits)))
+    values, counts = np.unique(np.concatenate(found), return_counts=True)
+    return np.repeat(values, np.minimum(counts, 2))
+
+
+def suffix_order(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes given by rows, and where one starts that has not all in common with
+    the one before it: the length of the common beginning is less than a row."""
+    order = np.lexsort(suffixes.T[::-1])
+    rows = suffixes[order]
+    common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    return order, np.concatenate([np.zeros(min(1, len(rows)), np.intp), 1 + np.flatnonzero(common < rows.shape[1])])
+
+
+def sorted_suffixes(chunk: pa.Table, run: int, bits: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct suffixes of a chunk at windows whose names are ``wanted``, in order: host (two
+    numbers) and ``run`` tokens; the least and greatest page; whether a page's markup holds it."""
+    rows, pages, marked = [np.zeros((0, run + 2), np.uint32)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for stream, host, settled in streams(chunk, Hashes()):
+        if len(stream) < run:
+            continue
+        at = np.flatnonzero(holds(names(stream, run, host, bits), wanted))
+        if len(at):
+            tokens = (stream >> np.uint64(32)).astype(np.uint32)
+            hosts = np.array([[host >> np.uint64(32), host & np.uint64(0xFFFFFFFF)]], np.uint32)
+            rows.append(np.hstack([np.broadcast_to(hosts, (len(at), 2)), tokens[at[:, None] + np.arange(run)]]))
+            pages.append(np.full(len(at), name_of(stream), np.uint64))
+            marked.append(np.full(len(at), settled))
+    suffixes, page, mark = np.concatenate(rows), np.concatenate(pages), np.concatenate(marked)
+    if not len(page):
+        return suffixes, page, page, mark
+    order, starts = suffix_order(suffixes)
+    page, mark = page[order], mark[order]
+    return suffixes[order][starts], np.minimum.reduceat(page, starts), np.maximum.reduceat(page, starts), np.logical_or.reduceat(mark, starts)
+
+
+def suffix_digests(suffixes: np.ndarray) -> np.ndarray:
+    """As ``of_windows`` on the upper halves of the tokens' hashes."""
+    columns = suffixes.T.astype(np.uint64)
+    return digests(list(columns[2:]), (columns[0] << np.uint64(32)) | columns[1])
+
+
+def cut(chunk: pa.Table, run: int, repeats: np.ndarray) -> tuple[list[str], list[int]]:
+    """The texts of a chunk's pages without boilerplate, and how many of their tokens repeats cover.
+    The last bit of a repeat says that a page marks it as its article's."""
+    one, texts, counts = np.uint64(1), [], []
+    for (stream, host, _), found in zip(streams(chunk, Hashes()), chunk["blocks"].to_pylist(), strict=True):
+        windows = of_windows(stream >> np.uint64(32), run, host) & ~one if len(stream) >= run else np.zeros(0, np.uint64)
+
+        def covered(which, n=len(stream)):
+            at = np.flatnonzero(which)
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + run, -1)
+            return np.cumsum(edges[:-1]) > 0
+
+        unmarked = holds(windows, repeats)
+        counts.append(int(covered(unmarked | holds(windows | one, repeats)).sum()))
+        gone = covered(unmarked)
+        if gone.any():
+            place, kept = 0, []
+            for block in found:
+                words = block.split(" ")
+                unique = [w for w, out in zip(words, gone[place : place + len(words)].tolist(), strict=True) if not out]
+                place += len(words)
+                if unique:
+                    kept.append(" ".join(unique))
+            found = kept
+        texts.append("\n\n".join(found))
+    return texts, counts
+
+
+def repeated(chunks: DataFrame, run: int, bits: int, buckets: int) -> DataFrame:
+    """(chunk, ns, lists): for each chunk the digests of the windows on its pages that distinct
+    pages of a host share, as packed lists."""
+    back = "chunk long, n int, list binary"
+
+    def send_names(batches):
+        edges = [(b << bits) // buckets for b in range(1, buckets)]
+        for batch in batches:
+            for chunk, pages in zip(batch.column("chunk").to_pylist(), batch.column("pages"), strict=True):
+                parts = np.split(found := sent_names(of_chunk(pages.as_buffer()), run, bits), np.searchsorted(found, np.array(edges, np.uint64)))
+                rows = [(b, chunk, len(p), packed(p)) for b, p in enumerate(parts) if len(p)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "chunk", "n", "list"), r, strict=True)) for r in rows], pa.schema(named_schema))
+
+    named_schema = [("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("list", pa.binary())]
+
+    def shared_names(table):
+        lists = [unpacked(x, n) for n, x in zip(table["n"].to_pylist(), table["list"].to_pylist(), strict=True)]
+        every = np.sort(np.concatenate(lists))
+        shared = every[1:][every[1:] == every[:-1]]
+        del every
+        out = []
+        for chunk, values in zip(table["chunk"].to_pylist(), lists, strict=True):
+            values = np.unique(values[holds(values, shared)])
+            if len(values):
+                out.append({"chunk": chunk, "n": len(values), "list": packed(values)})
+        return pa.Table.from_pylist(out, pa.schema(named_schema[1:]))
+
+    def send_suffixes(batches):
+        for batch in batches:
+            for chunk, pages, ns, lists in zip(batch.column("chunk").to_pylist(), batch.column("pages"), batch.column("ns").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+                suffixes, least, greatest, marked = sorted_suffixes(of_chunk(pages.as_buffer()), run, bits, merged(ns, lists))
+                if not len(least):
+                    continue
+                ids, place = np.unique(least, return_inverse=True)
+                flags = (least != greatest).astype(np.uint8) | marked.astype(np.uint8) << 1
+                first = digests([suffixes[:, j].astype(np.uint64) for j in range(min(6, run + 2))], np.uint64(0))
+                bucket = first % np.uint64(buckets)
+                rows = []
+                for b in np.unique(bucket).tolist():
+                    at = np.flatnonzero(bucket == b)
+                    used, own = np.unique(place[at], return_inverse=True)
+                    data = suffixes[at].T.tobytes() + own.astype("<u4").tobytes() + flags[at].tobytes() + ids[used].tobytes()
+                    rows.append({"bucket": b, "chunk": chunk, "n": len(at), "pages": len(used), "list": pa.compress(data, codec="zstd", asbytes=True)})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([*named_schema[:3], ("pages", pa.int32()), named_schema[3]]))
+
+    def shared_suffixes(table):
+        rows, pages, flags = [], [], []
+        for n, used, data in zip(table["n"].to_pylist(), table["pages"].to_pylist(), table["list"].to_pylist(), strict=True):
+            wide = 4 * (run + 2)
+            raw = pa.decompress(data, decompressed_size=n * (wide + 5) + 8 * used, codec="zstd", asbytes=True)
+            rows.append(np.frombuffer(raw, np.uint32, n * (run + 2)).reshape(run + 2, n).T)
+            own = np.frombuffer(raw, "<u4", n, n * wide)
+            flags.append(np.frombuffer(raw, np.uint8, n, n * (wide + 4)))
+            pages.append(np.frombuffer(raw, np.uint64, used, n * (wide + 5))[own])
+        suffixes, page, flag = np.concatenate(rows), np.concatenate(pages), np.concatenate(flags)
+        source = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        del rows, pages, flags
+        order, starts = suffix_order(suffixes)
+        group = np.empty(len(order), np.intp)
+        group[order] = np.cumsum(np.bincount(starts, minlength=len(order))) - 1
+        page, any_flag = page[order], np.bitwise_or.reduceat(flag[order], starts)
+        distinct = (np.minimum.reduceat(page, starts) != np.maximum.reduceat(page, starts)) | (any_flag & 1 > 0)
+        values = suffix_digests(suffixes[order[starts]]) & ~np.uint64(1) | (any_flag >> 1).astype(np.uint64)
+        out = []
+        bounds = np.searchsorted(source, np.arange(table.num_rows + 1))
+        for i, chunk in enumerate(table["chunk"].to_pylist()):
+            own = group[bounds[i] : bounds[i + 1]]
+            own = np.unique(values[own[distinct[own]]])
+            if len(own):
+                out.append({"chunk": chunk, "n": len(own), "list": packed(own)})
+        return pa.Table.from_pylist(out, pa.schema(named_schema[1:]))
+
+    def per_chunk(df):
+        return df.repartition(PARTS, "chunk").groupBy("chunk").agg(F.collect_list("n").alias("ns"), F.collect_list("list").alias("lists"))
+
+    named = per_batch(chunks, send_names, "bucket int, chunk long, n int, list binary")
+    shared = named.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_names, back)
+    with_names = chunks.join(per_chunk(shared).hint("shuffle_hash"), "chunk")
+    suffixes = per_batch(with_names, send_suffixes, "bucket int, chunk long, n int, pages int, list binary")
+    return per_chunk(suffixes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_suffixes, back))
 
 
 def main_text(pages: DataFrame, run: int = RUN, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -263,32 +495,42 @@ def main_text(pages: DataFrame, run: int = RUN, id_col: str = "page_id", url_col
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined in page order by two line ends. Rows and ids may repeat and ids be null; null or
     empty HTML has an empty text; a null URL belongs to the host ""; other columns are not
-    read; empty tables are fine. Pages whose markup settles their text take one pass and do
-    not move; the others are compared with the pages of their host, and equal rows among them
-    are told apart by number of copies.
+    read; empty tables are fine. Every page goes through the suffix array of its host. The parsed
+    pages are written once, in chunks of some MB, and don't move; what moves are names of
+    windows and the suffixes that can be repeats.
 
-    Returns (id, url, text, n_chars long).
+    Returns (id, url, text, n_chars long, n_repeated long: tokens of the page's blocks that
+    stand on another page of the host in a run of ``run`` or more, kept or not).
     """
 
     def read(batches):
         for b in slices(batches, "html"):
-            settled, texts, hosts, rest = [], [], [], []
-            for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                done, found = structured(page)
-                settled.append(done)
-                texts.append("\n\n".join(found) if done else None)
-                hosts.append(None if done else host_of(url))
-                rest.append(None if done else found)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("url"), pa.array(settled), pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(rest, pa.list_(pa.string()))],
-                ["id", "url", "settled", "text", "host", "blocks"],
+            found = [structured(page) for page in b.column("html").to_pylist()]
+            rows = pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("url"), pa.array([s for s, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.list_(pa.string()))],
+                ["id", "url", "settled", "blocks"],
             )
+            tokens = sum(x.count(" ") + 1 for _, blocks in found for x in blocks)
+            chunk = uuid.uuid4().int >> 65
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([tokens], pa.int64()), pa.array([as_chunk(rows)], pa.binary())], ["chunk", "tokens", "pages"])
 
+    def write(batches):
+        for b in batches:
+            for data, ns, lists in zip(b.column("pages"), b.column("ns").to_pylist(), b.column("lists").to_pylist(), strict=True):
+                chunk = of_chunk(data.as_buffer())
+                texts, counts = cut(chunk, run, merged(ns, lists))
+                ids, urls = (chunk[c].combine_chunks() for c in ("id", "url"))
+                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["id", "url", "text", "n_repeated"])
+
+    spark = pages.sparkSession
+    small_batches(spark)
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stored(per_batch(source, read, "id long, url string, settled boolean, text string, host string, blocks array<string>"), "parsed")
-    done = parsed.where("settled").select("id", "url", "text")
-    key = F.sha2(F.to_json(F.struct("id", "url", "blocks")), 256)
-    loose = parsed.where("NOT settled").groupBy("id", "url", "host", "blocks").agg(F.count("*").alias("copies")).withColumn("row", key)
-    cleaned = loose.select("id", "url", "row", "copies").join(boilerplate_free(loose.select("row", "host", "blocks"), run), "row")
-    both = done.unionByName(cleaned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("id", "url", "text"))
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    name = f"quire_chunks_{uuid.uuid4().hex}"
+    parsed = per_batch(source, read, "chunk long, tokens long, pages binary")
+    parsed.write.bucketBy(PARTS, "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    chunks = spark.table(name)
+    total = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits = min(60, max(24, total.bit_length() + 7))  # a window that is no repeat shares its name with another in 1 of 128 cases
+    found = repeated(chunks.select("chunk", "pages"), run, bits, max(16, total // SORTED_AT_ONCE))
+    texts = per_batch(chunks.select("chunk", "pages").join(found.hint("shuffle_hash"), "chunk", "left"), write, "id long, url string, text string, n_repeated long")
+    return texts.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")

@@ -339,6 +339,65 @@ def test_html_long_attributes():
     assert htmltext.structured('<article><p title="open>text</p></article>') == (True, ["text"])
 
 
+def brute_main_texts(rows, run=8):
+    """By comparing all windows of all pages: rows of (id, url, whether marked, blocks)."""
+    held, marked = collections.defaultdict(set), set()
+    streams = [" ".join(blocks).split(" ") if blocks else [] for *_, blocks in rows]
+    windows = [[(htmltext.host_of(url), *t[i : i + run]) for i in range(len(t) - run + 1)] for (_, url, *_), t in zip(rows, streams, strict=True)]
+    for (*_, settled, _), t, ws in zip(rows, streams, windows, strict=True):
+        for w in ws:
+            held[w].add(tuple(t))
+            if settled:
+                marked.add(w)
+    out = []
+    for (i, _, _, blocks), ws in zip(rows, windows, strict=True):
+        again = {p + j for p, w in enumerate(ws) for j in range(run) if len(held[w]) > 1}
+        gone = {p + j for p, w in enumerate(ws) for j in range(run) if len(held[w]) > 1 and w not in marked}
+        kept, place = [], 0
+        for b in blocks:
+            words = b.split(" ")
+            kept.append(" ".join(w for j, w in enumerate(words, place) if j not in gone))
+            place += len(words)
+        out.append((i, "\n\n".join(k for k in kept if k), len(again)))
+    return out
+
+
+@pytest.mark.parametrize("rows_in_a_chunk", [None, 3])
+def test_html_suffixes_against_brute_force(spark, monkeypatch, rows_in_a_chunk):
+    """Every page, marked or not, goes through the array of its host: repeats of 8 tokens or more, across
+    blocks and over their ends, on few words; copies of pages; text that another page marks as its article's."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice("abcdefghijklm") + rng.choice("xyz") for _ in range(n))
+    common = [words(n) for n in (5, 7, 8, 9, 15, 30, 60) * 2]
+    rows = []
+    for i in range(150):
+        marked = rng.random() < 0.3
+        of = common[:8] if marked else common
+        blocks = [rng.choice(of) if rng.random() < 0.4 else " ".join([words(rng.randint(1, 12)), rng.choice(of), words(rng.randint(0, 3))]).strip() for _ in range(rng.randint(0, 6))]
+        rows.append((i, f"http://{rng.choice(['h1', 'h2', 'H1', 'h3'])}/{i}", marked and bool(blocks), blocks))
+    rows += [(1000 + r[0], r[1], r[2], r[3]) for r in rows[::5]]
+    page = lambda m, bs: ("<article>" if m else "") + "".join(f"<p>{b}</p>" for b in bs) + ("</article><p>loose</p>" if m else "")
+    if rows_in_a_chunk:
+        monkeypatch.setattr(htmltext, "slices", lambda batches, _: (b.slice(k, 3) for b in batches for k in range(0, b.num_rows, 3)))
+        monkeypatch.setattr(htmltext, "SORTED_AT_ONCE", 100)
+    pages = spark.createDataFrame([(i, u, page(m, bs)) for i, u, m, bs in rows], "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text, r.n_repeated) for r in htmltext.main_text(pages).collect())
+    want = sorted(brute_main_texts(rows))
+    assert got == want
+    whole = {i: "\n\n".join(bs) for i, _, _, bs in rows}
+    marked = {i for i, _, m, _ in rows if m}
+    assert all(t == whole[i] for i, t, _ in got if i in marked) and any(n for i, _, n in got if i in marked)
+    assert any(t != whole[i] for i, t, _ in got) and any(n > 0 and t == whole[i] for i, t, n in got if i not in marked)
+
+
+def test_html_plan_sorts_suffixes_of_all_pages(spark):
+    """No page passes by the array: one branch, and the table of parsed chunks does not move."""
+    df = htmltext.main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "Union" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(bucket#", plan)) == 2 and len(re.findall(r"Exchange hashpartitioning\(chunk#", plan)) == 2
+
+
 def test_html_of_the_given_pages(spark):
     """On pages whose article is marked, equal to what plain string surgery on the article gives."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
