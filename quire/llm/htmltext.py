@@ -33,6 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,17 +243,31 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", (url or "").partition("://")[2], maxsplit=1)[0].lower()
 
 
-class Hashes(dict):
-    """64 bits for each token; the first ones seen are kept."""
-
-    def __missing__(self, token: str) -> int:
-        found = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) < 1 << 18:
-            self[token] = found
-        return found
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+def hashed(words: pa.StringArray) -> np.ndarray:
+    """64 bits for each word, from eight of its bytes at a time; from another digest for words of more than 64."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.concatenate([np.frombuffer(data or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, left = ends[:-1], np.diff(ends)
+    found = left.astype(np.uint64)
+    short = which = np.flatnonzero(left <= 64)
+    for start in range(0, 64, 8):
+        which = which[left[which] > start]
+        if not len(which):
+            break
+        unused = 8 * np.maximum(0, 8 + start - left[which]).astype(np.uint64)
+        h = found[which]
+        found[which] = (h ^ (h >> np.uint64(32))) * _ODD + (eight[at[which] + start] << unused)
+    h = (found ^ (found >> np.uint64(32))) * _ODD
+    found = h ^ (h >> np.uint64(29))
+    if len(short) < len(words):
+        for i in np.flatnonzero(left > 64).tolist():
+            found[i] = int.from_bytes(blake2b(data[at[i] : at[i] + left[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
 
 
 def digests(columns: list[np.ndarray], first: np.ndarray | np.uint64) -> np.ndarray:
@@ -293,6 +308,15 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits with their first bytes together, and so on: small ones compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def holds(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which of ``values`` are among ``wanted``, which is sorted."""
     if not len(wanted):
@@ -316,11 +340,17 @@ def of_chunk(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def streams(chunk: pa.Table, hashes: Hashes) -> Iterator[tuple[np.ndarray, np.uint64, bool]]:
+def streams(chunk: pa.Table) -> Iterator[tuple[np.ndarray, np.uint64, bool]]:
     """(tokens' hashes, host's hash, whether the markup settles the text) of each page."""
-    for url, settled, found in zip(chunk["url"].to_pylist(), chunk["settled"].to_pylist(), chunk["blocks"].to_pylist(), strict=True):
-        tokens = " ".join(found).split(" ") if found else []
-        yield np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), np.uint64(hashes[host_of(url)]), settled
+    for part in chunk.to_batches():
+        blocks = part.column("blocks")
+        tokens = pc.split_pattern(pc.binary_join(blocks, " "), " ")
+        known = hashed(tokens.flatten())
+        hosts = hashed(pa.array([host_of(url) for url in part.column("url").to_pylist()], pa.string()))
+        lengths = np.where(pc.list_value_length(blocks).to_numpy() > 0, pc.list_value_length(tokens).to_numpy(), 0)
+        starts = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        for host, settled, at, n in zip(hosts, part.column("settled").to_pylist(), starts[:-1].tolist(), lengths.tolist(), strict=True):
+            yield known[at : at + n], host, settled
 
 
 def name_of(stream: np.ndarray) -> int:
@@ -331,7 +361,7 @@ def name_of(stream: np.ndarray) -> int:
 def sent_names(chunk: pa.Table, run: int, bits: int) -> np.ndarray:
     """The names on a chunk's pages, sorted; those on two distinct pages or more stand twice."""
     seen, found = set(), [np.zeros(0, np.uint64)]
-    for stream, host, _ in streams(chunk, Hashes()):
+    for stream, host, _ in streams(chunk):
         page = (name_of(stream), host)
         if len(stream) >= run and page not in seen:
             seen.add(page)
@@ -351,9 +381,9 @@ def suffix_order(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sorted_suffixes(chunk: pa.Table, run: int, bits: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct suffixes of a chunk at windows whose names are ``wanted``, in order: host (two
-    numbers) and ``run`` tokens; the least and greatest page; whether a page's markup holds it."""
+    numbers) and ``run`` tokens, each known by 32 bits of its hash; the least and greatest page; whether a page's markup holds it."""
     rows, pages, marked = [np.zeros((0, run + 2), np.uint32)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for stream, host, settled in streams(chunk, Hashes()):
+    for stream, host, settled in streams(chunk):
         if len(stream) < run:
             continue
         at = np.flatnonzero(holds(names(stream, run, host, bits), wanted))
@@ -381,7 +411,7 @@ def cut(chunk: pa.Table, run: int, repeats: np.ndarray) -> tuple[list[str], list
     """The texts of a chunk's pages without boilerplate, and how many of their tokens repeats cover.
     The last bit of a repeat says that a page marks it as its article's."""
     one, texts, counts = np.uint64(1), [], []
-    for (stream, host, _), found in zip(streams(chunk, Hashes()), chunk["blocks"].to_pylist(), strict=True):
+    for (stream, host, _), found in zip(streams(chunk), chunk["blocks"].to_pylist(), strict=True):
         windows = of_windows(stream >> np.uint64(32), run, host) & ~one if len(stream) >= run else np.zeros(0, np.uint64)
 
         def covered(which, n=len(stream)):
@@ -448,19 +478,20 @@ def repeated(chunks: DataFrame, run: int, bits: int, buckets: int) -> DataFrame:
                 for b in np.unique(bucket).tolist():
                     at = np.flatnonzero(bucket == b)
                     used, own = np.unique(place[at], return_inverse=True)
-                    data = suffixes[at].T.tobytes() + own.astype("<u4").tobytes() + flags[at].tobytes() + ids[used].tobytes()
-                    rows.append({"bucket": b, "chunk": chunk, "n": len(at), "pages": len(used), "list": pa.compress(data, codec="zstd", asbytes=True)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([*named_schema[:3], ("pages", pa.int32()), named_schema[3]]))
+                    tokens, which = np.unique(suffixes[at].T.ravel(), return_inverse=True)
+                    data = planes(np.diff(tokens, prepend=np.uint32(0))) + planes(which) + planes(own) + flags[at].tobytes() + ids[used].tobytes()
+                    rows.append({"bucket": b, "chunk": chunk, "n": len(at), "pages": len(used), "tokens": len(tokens), "list": pa.compress(data, codec="zstd", asbytes=True)})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([*named_schema[:3], ("pages", pa.int32()), ("tokens", pa.int32()), named_schema[3]]))
 
     def shared_suffixes(table):
         rows, pages, flags = [], [], []
-        for n, used, data in zip(table["n"].to_pylist(), table["pages"].to_pylist(), table["list"].to_pylist(), strict=True):
-            wide = 4 * (run + 2)
-            raw = pa.decompress(data, decompressed_size=n * (wide + 5) + 8 * used, codec="zstd", asbytes=True)
-            rows.append(np.frombuffer(raw, np.uint32, n * (run + 2)).reshape(run + 2, n).T)
-            own = np.frombuffer(raw, "<u4", n, n * wide)
-            flags.append(np.frombuffer(raw, np.uint8, n, n * (wide + 4)))
-            pages.append(np.frombuffer(raw, np.uint64, used, n * (wide + 5))[own])
+        for n, used, known, data in zip(*(table[c].to_pylist() for c in ("n", "pages", "tokens", "list")), strict=True):
+            ends = np.cumsum([4 * known, 4 * n * (run + 2), 4 * n, n, 8 * used]).tolist()
+            raw = pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+            tokens = np.cumsum(of_planes(raw[: ends[0]]), dtype=np.uint32)
+            rows.append(tokens[of_planes(raw[ends[0] : ends[1]])].reshape(run + 2, n).T)
+            flags.append(np.frombuffer(raw[ends[2] : ends[3]], np.uint8))
+            pages.append(np.frombuffer(raw[ends[3] :], np.uint64)[of_planes(raw[ends[1] : ends[2]])])
         suffixes, page, flag = np.concatenate(rows), np.concatenate(pages), np.concatenate(flags)
         source = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         del rows, pages, flags
@@ -485,7 +516,7 @@ def repeated(chunks: DataFrame, run: int, bits: int, buckets: int) -> DataFrame:
     named = per_batch(chunks, send_names, "bucket int, chunk long, n int, list binary")
     shared = named.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_names, back)
     with_names = chunks.join(per_chunk(shared).hint("shuffle_hash"), "chunk")
-    suffixes = per_batch(with_names, send_suffixes, "bucket int, chunk long, n int, pages int, list binary")
+    suffixes = per_batch(with_names, send_suffixes, "bucket int, chunk long, n int, pages int, tokens int, list binary")
     return per_chunk(suffixes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_suffixes, back))
 
 

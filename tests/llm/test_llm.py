@@ -367,7 +367,7 @@ def test_html_suffixes_against_brute_force(spark, monkeypatch, rows_in_a_chunk):
     """Every page, marked or not, goes through the array of its host: repeats of 8 tokens or more, across
     blocks and over their ends, on few words; copies of pages; text that another page marks as its article's."""
     rng = random.Random(7)
-    words = lambda n: " ".join(rng.choice("abcdefghijklm") + rng.choice("xyz") for _ in range(n))
+    words = lambda n: " ".join(rng.choice("abcdefghijklm") * rng.choice((1, 1, 1, 9, 70)) + rng.choice("xé") for _ in range(n))
     common = [words(n) for n in (5, 7, 8, 9, 15, 30, 60) * 2]
     rows = []
     for i in range(150):
